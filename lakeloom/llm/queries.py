@@ -18,7 +18,25 @@ def op9_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, from the flat token files that are written of them."""
+    from lakeloom.llm.common import scratch
+    from lakeloom.llm.token_counts import count_document_tokens
+
+    return count_document_tokens(table(spark, sf_dir, "documents"), scratch(spark, "op1"))
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences in keyed training order, written as fixed-stride shards."""
+    from lakeloom.llm.common import scratch
+    from lakeloom.llm.training_order import write_training_order
+
+    return write_training_order(table(spark, sf_dir, "documents"), scratch(spark, "op3"), key=20240101)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_separator_scan": op1_separator_scan,
+    "op3_training_order": op3_training_order,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
 }
 
