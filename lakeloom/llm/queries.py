@@ -6,11 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.llm.quality_rules import JUDGE_SQL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, rule failures and host-aware verdicts of all documents."""
+    from lakeloom.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op9_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of 4096 tokens."""
     from lakeloom.llm.packing import pack_documents
@@ -37,7 +46,8 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op3_training_order": op3_training_order,
+    "op5_host_rules": op5_host_rules,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_host_rules": JUDGE_SQL}

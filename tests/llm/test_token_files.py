@@ -69,7 +69,7 @@ def test_shards_hold_all_tokens_and_resume(spark, docs, tmp_path):
     all_rows = list(read_sequences(folder, 0, n, **options))
     assert len(all_rows) == n
     assert all(np.array_equal(x, y) for x, y in zip(all_rows[20:], read_sequences(folder, 20, n, **options), strict=True))
-    by_index = [all_rows[r.slot][: r.n_real] for r in sorted(rows, key=lambda r: r.index)]
+    by_index = [all_rows[r.slot][: r.n_real] for r in sorted(rows, key=lambda r: r["index"])]
     stream = np.concatenate(by_index)
     found, start = [], 0
     for end in np.flatnonzero(stream == 49407):
