@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeloom.llm.quality_rules import JUDGE_SQL
 
@@ -35,6 +36,25 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_document_tokens(table(spark, sf_dir, "documents"), scratch(spark, "op1"))
 
 
+def quality_model(docs: DataFrame, labels: DataFrame):
+    """A classifier of ``labels.quality``, learned from the rows outside fold 1 of 3."""
+    from lakeloom.llm.common import fold
+    from lakeloom.llm.subword_classifier import train
+
+    known = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 3) != 1)).select(F.col("doc_id").alias("labelled"), F.col("quality").alias("label"))
+    return train(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("labelled")))
+
+
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    from lakeloom.llm.common import fold
+    from lakeloom.llm.subword_classifier import score
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sequences in keyed training order, written as fixed-stride shards."""
     from lakeloom.llm.common import scratch
@@ -43,11 +63,24 @@ def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_training_order(table(spark, sf_dir, "documents"), scratch(spark, "op3"), key=20240101)
 
 
+def op10_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    from lakeloom.llm.common import fold
+    from lakeloom.llm.toxicity import learn, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).select(F.col("doc_id").alias("labelled"), F.col("toxic").alias("label"))
+    lexicon = learn(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("labelled")))
+    return score(docs, lexicon).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
+    "op2_subword_quality": op2_subword_quality,
     "op3_training_order": op3_training_order,
     "op5_host_rules": op5_host_rules,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
+    "op10_toxic_lexicon": op10_toxic_lexicon,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_host_rules": JUDGE_SQL}
