@@ -21,6 +21,16 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op8_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    from lakeloom.llm.common import fold
+    from lakeloom.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(fold("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    return identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of 4096 tokens."""
     from lakeloom.llm.packing import pack_documents
@@ -79,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_subword_quality": op2_subword_quality,
     "op3_training_order": op3_training_order,
     "op5_host_rules": op5_host_rules,
+    "op8_kneser_ney_language": op8_kneser_ney_language,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
     "op10_toxic_lexicon": op10_toxic_lexicon,
 }
