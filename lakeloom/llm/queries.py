@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity 0.9 of 3-word shingles."""
+    from lakeloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, rule failures and host-aware verdicts of all documents."""
     from lakeloom.llm.quality_rules import judge
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_subword_quality": op2_subword_quality,
     "op3_training_order": op3_training_order,
+    "op4_token_group_join": op4_token_group_join,
     "op5_host_rules": op5_host_rules,
     "op8_kneser_ney_language": op8_kneser_ney_language,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
