@@ -70,8 +70,8 @@ def _repeated_words(words: Column) -> Column:
     return F.transform(F.array(windows), count)[0]
 
 
-def document_counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(doc_id, host, counts): every row's counts, from its whole text."""
+def document_counts(docs: DataFrame, host: str = "source", *carried: str) -> DataFrame:
+    """(doc_id, host, counts, and carried columns): every row's counts, from its whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
@@ -83,8 +83,9 @@ def document_counts(docs: DataFrame, host: str = "source") -> DataFrame:
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         one(lambda v: (F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("dup"), lines).alias("lines"),
         one(lambda v: _repeated_words(v).alias("repeated"), words).alias("words"),
+        *carried,
     )
-    return counted.select("doc_id", "host", F.col("words.n").alias("n_words"), "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), F.col("words.repeated").alias("n_repeat_words"), F.col("lines.n").alias("n_lines"))
+    return counted.select(*carried, "doc_id", "host", F.col("words.n").alias("n_words"), "word_chars", "n_symbols", F.col("lines.dup").alias("n_dup_lines"), F.col("words.repeated").alias("n_repeat_words"), F.col("lines.n").alias("n_lines"))
 
 
 def apply_rules(counts: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -120,6 +121,21 @@ def judge(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> Data
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round("rate", 9).alias("host_rate"))
 
 
+def keep_passing(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that judge() keeps, with their columns.
+
+    Host rates come from a slim table; the texts are counted once more where
+    they lie instead of being shuffled to meet their counts.
+    """
+    judged = materialise(apply_rules(document_counts(docs, host), rules), "rule-counts")
+    verdicts = bounded(host_rates(judged).where(F.col("rate") >= rules.doubt_rate).select(F.col("host").alias("_host_name"), F.col("rate").alias("_rate")))
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    counted = apply_rules(document_counts(docs.select(own, F.col("doc_id").alias("doc_id"), F.col(host).alias(host), F.col("text").cast("string").alias("text")), host, "_row"), rules)
+    judged_rows = counted.join(verdicts, F.col("host").eqNullSafe(F.col("_host_name")), "left")
+    rate = F.coalesce("_rate", F.lit(0.0))
+    return judged_rows.where(~F.col("base_failed") & ~F.col("symbol_failed") & (rate < rules.reject_rate) & ~((rate >= rules.doubt_rate) & F.col("failed"))).select("_row.*")
+
+
 #: DuckDB SQL that gives the rows of judge() with the rules' default thresholds.
 JUDGE_SQL = r"""
 WITH d AS (

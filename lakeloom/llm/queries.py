@@ -28,6 +28,22 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every 20th embedding."""
+    from lakeloom.llm.nearest_neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rates of all documents."""
+    from lakeloom.llm.mixing import soft_mix
+    from lakeloom.llm.stages import TARGETS, domain_labels
+
+    docs = table(spark, sf_dir, "documents")
+    return soft_mix(docs, domain_labels(docs, table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op8_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents."""
     from lakeloom.llm.common import fold
@@ -58,8 +74,8 @@ def quality_model(docs: DataFrame, labels: DataFrame):
     from lakeloom.llm.common import fold
     from lakeloom.llm.subword_classifier import train
 
-    known = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 3) != 1)).select(F.col("doc_id").alias("labelled"), F.col("quality").alias("label"))
-    return train(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("labelled")))
+    known = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 3) != 1)).select("doc_id", F.col("quality").alias("label"))
+    return train(docs, known)
 
 
 def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +102,8 @@ def op10_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.toxicity import learn, score
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).select(F.col("doc_id").alias("labelled"), F.col("toxic").alias("label"))
-    lexicon = learn(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("labelled")))
+    known = labels.where(F.col("toxic").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", F.col("toxic").alias("label"))
+    lexicon = learn(docs, known)
     return score(docs, lexicon).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -97,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_training_order": op3_training_order,
     "op4_token_group_join": op4_token_group_join,
     "op5_host_rules": op5_host_rules,
+    "op6_multiprobe_neighbours": op6_multiprobe_neighbours,
+    "op7_soft_mixing": op7_soft_mixing,
     "op8_kneser_ney_language": op8_kneser_ney_language,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
     "op10_toxic_lexicon": op10_toxic_lexicon,

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import _BASE, _BYTE_CODES, mix64, span_hashes, string_bytes, word_spans
+from lakeloom.llm.common import _BASE, _BYTE_CODES, labelled_sample, mix64, span_hashes, string_bytes, word_spans
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Config:
     rate: float = 0.4
     max_rows: int = 4000
     seed: int = 7
-    slice_bytes: int = 4_000_000
+    slice_bytes: int = 2_000_000
 
 
 @dataclass
@@ -111,9 +111,9 @@ def text_slices(texts: pa.Array, slice_bytes: int) -> Iterator[tuple[int, pa.Arr
         row = upto
 
 
-def train(labelled: DataFrame, config: Config = Config()) -> Model:
-    """Learn from (doc_id, text, label) rows; at most ``max_rows`` of them, featurised on the executors."""
-    sample = labelled.where(F.col("label").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("label")).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(config.seed)), "doc_id").limit(config.max_rows)
+def train(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
+    """Learn from (doc_id, text) and (doc_id, label); at most ``max_rows`` labels, featurised on the executors."""
+    sample = labelled_sample(docs, labels, config.max_rows, config.seed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +127,7 @@ def train(labelled: DataFrame, config: Config = Config()) -> Model:
                     rows.append((kinds.astype("<i4").tobytes(), counts.astype("<f4").tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), batch.column(2).slice(row, len(part)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "label", "kinds", "counts"])
 
-    label_type = labelled.schema["label"].dataType.simpleString()
+    label_type = sample.schema["label"].dataType.simpleString()
     rows = sorted(sample.mapInArrow(run, f"doc_id long, label {label_type}, kinds binary, counts binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, str(r.label)))
     classes = sorted({r.label for r in rows})
     target = np.array([classes.index(r.label) for r in rows], dtype=np.int64)
@@ -158,24 +158,31 @@ def train(labelled: DataFrame, config: Config = Config()) -> Model:
     return Model(classes, prior, vectors, output)
 
 
-def score(docs: DataFrame, model: Model, config: Config = Config(), positive: object = 1) -> DataFrame:
-    """(doc_id, score): the probability of class ``positive`` for every row."""
+def with_scores(docs: DataFrame, model: Model, config: Config = Config(), positive: object = 1, name: str = "score") -> DataFrame:
+    """``docs`` with the probability of class ``positive`` as one more column."""
     table = docs.sparkSession.sparkContext.broadcast(model.table())
     known = positive in model.classes
     k = model.classes.index(positive) if known else 0
     base = float(model.prior[k]) if known else (0.5 if not model.classes else 0.0)
     learned = known and len(model.classes) > 1
+    at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, part in text_slices(batch.column(1), config.slice_bytes):
-                out = np.full(len(part), base)
-                if learned:
-                    bucket, doc = features(part, config)
-                    n = np.bincount(doc, minlength=len(part))
-                    logits = np.stack([np.bincount(doc, weights=t[bucket], minlength=len(part)) for t in np.ascontiguousarray(table.value.T)], axis=1)[n > 0] / n[n > 0, None]
-                    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-                    out[n > 0] = e[:, k] / e.sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array(out)], names=["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+            scores = np.full(batch.num_rows, base)
+            for row, part in text_slices(batch.column(at), config.slice_bytes) if learned else ():
+                bucket, doc = features(part, config)
+                n = np.bincount(doc, minlength=len(part))
+                logits = np.stack([np.bincount(doc, weights=t[bucket], minlength=len(part)) for t in np.ascontiguousarray(table.value.T)], axis=1)[n > 0] / n[n > 0, None]
+                e = np.exp(logits - logits.max(axis=1, keepdims=True))
+                scores[row : row + len(part)][n > 0] = e[:, k] / e.sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
+
+    from pyspark.sql.types import DoubleType, StructType
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+
+
+def score(docs: DataFrame, model: Model, config: Config = Config(), positive: object = 1) -> DataFrame:
+    """(doc_id, score) of every row of (doc_id, text)."""
+    return with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, config, positive).select("doc_id", "score")
