@@ -1 +1,135 @@
-"""Pending."""
+"""Vector, keyword and hybrid retrieval, and what follows a retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lakeloom.operators.search import bm25, postings, reciprocal_rank_fusion
+from lakeloom.operators.sets import keep_best
+from lakeloom.operators.vector import cosine_top_k
+from lakeloom.plans.registry import query, table
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, rows): the stated query set is every 100th row, against all rows."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return rows.where("id % 100 = 0"), rows
+
+
+PAIRS_SQL = """p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, q.label AS q_label, e.label AS label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS similarity
+FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)"""
+
+
+@query(f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p) SELECT query_id, rank, id, similarity FROM r WHERE rank <= 10")
+def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar rows of every query."""
+    return cosine_top_k(*vectors(spark, sf_dir), k=10)
+
+
+@query(f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p WHERE similarity >= 0.35) SELECT query_id, rank, id, similarity FROM r WHERE rank <= 20")
+def product_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to twenty rows above a similarity threshold."""
+    return cosine_top_k(*vectors(spark, sf_dir), k=20, threshold=0.35)
+
+
+@query(f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p WHERE label = q_label AND similarity >= 0.3) SELECT query_id, rank, id, similarity FROM r WHERE rank = 1")
+def semantic_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cached row that may answer a query: same entities (label), similar enough, the best of them."""
+    return cosine_top_k(*vectors(spark, sf_dir), k=1, threshold=0.3, guard="label")
+
+
+BM25_SQL = """t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), s AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t),
+i AS (SELECT id, len AS length, term, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM t) GROUP BY 1, 2, 3), a AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+d AS (SELECT term, count(*) AS df FROM i GROUP BY 1), b AS (SELECT query_id, id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 5) AS score
+FROM a JOIN i USING (term) JOIN d USING (term), s GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b)"""
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, rank, id, score FROM k WHERE rank <= 5")
+def keyword_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over the documents for every benchmark item."""
+    return bm25(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 5)
+
+
+@query(f"""WITH {BM25_SQL}, l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM k WHERE rank <= 20),
+f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM k WHERE rank <= 20 UNION ALL SELECT * FROM l) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) SELECT query_id, rank, id, CAST(score AS DOUBLE) AS score FROM r WHERE rank <= 5""")
+def fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rankings of the keyword hits (best first, worst first) fused by reciprocal ranks."""
+    found = bm25(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 20)
+    other = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
+    return reciprocal_rank_fusion([found, other], 5)
+
+
+@query("""SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1""")
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document and collection frequency of every term."""
+    return postings(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
+
+
+@query(f"""WITH {BM25_SQL}, p AS (SELECT query_id, source FROM k JOIN documents ON doc_id = id WHERE rank = 1) SELECT query_id, doc_id AS id, CAST(0.95 AS DOUBLE) AS score FROM p JOIN documents USING (source)""")
+def pinned_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks of the source that holds a query's best hit, at a fixed score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    best = bm25(benchmark_queries(spark, sf_dir), docs, 1).select("query_id", F.col("id").alias("doc_id"))
+    sources = best.join(docs.select("doc_id", "source"), "doc_id").select("query_id", "source")
+    return sources.join(docs.select("source", F.col("doc_id").alias("id")), "source").select("query_id", "id", F.lit(0.95).alias("score"))
+
+
+@query("""SELECT conv_id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1""")
+def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of one place as one text, in order."""
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "text")))  # a conversation's turns are few
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n")).alias("digest"))
+
+
+@query("""WITH n AS (SELECT *, trim(regexp_replace(lower(p_type), '\\s*[-—(].*$', '')) AS title FROM part) SELECT title, min(p_partkey) AS position, arg_max(p_partkey, (p_retailprice, -p_partkey)) AS kept, max(p_retailprice) AS similarity FROM n GROUP BY 1""")
+def deduplicated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hit per title (cut at the first dash or bracket): the most similar, at the first one's place."""
+    title = F.trim(F.regexp_replace(F.lower("p_type"), r"\s*[-—(].*$", ""))
+    best = F.max(F.struct("p_retailprice", (-F.col("p_partkey")).alias("k"))).alias("b")
+    return table(spark, sf_dir, "part").groupBy(title.alias("title")).agg(F.min("p_partkey").alias("position"), best).select("title", "position", (-F.col("b.k")).alias("kept"), F.col("b.p_retailprice").alias("similarity"))
+
+
+@query("""WITH d AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS degree FROM lineitem GROUP BY 1), r AS (SELECT p_partkey, round(0.55 * (p_retailprice / 3000) + 0.35 * (p_size / 50) + 0.10 * least(0.10, 0.02 * coalesce(degree, 0)), 6) AS score FROM part LEFT JOIN d ON l_partkey = p_partkey)
+SELECT p_partkey, score FROM r ORDER BY score DESC, p_partkey LIMIT 20""")
+def ranked_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance, completeness and the (capped) boost of the product's neighbours."""
+    degree = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.countDistinct("l_suppkey").alias("degree"))
+    score = 0.55 * (F.col("p_retailprice") / 3000) + 0.35 * (F.col("p_size") / 50) + 0.10 * F.least(F.lit(0.10), 0.02 * F.coalesce("degree", F.lit(0)))
+    return table(spark, sf_dir, "part").join(degree, "p_partkey", "left").select("p_partkey", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(20)
+
+
+@query("""SELECT conv_id, turn, md5(conv_id || ':' || lower(trim(text))) AS cache_key FROM conversations""")
+def response_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of exact answers."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.lower(F.trim("text")))).alias("cache_key"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations), l AS (SELECT conv_id, arg_max(w, turn) AS lw, max(turn) AS lt FROM w GROUP BY 1),
+r AS (SELECT w.conv_id, turn, CAST(len(list_intersect(w, lw)) AS INTEGER) AS overlap, row_number() OVER (PARTITION BY w.conv_id ORDER BY len(list_intersect(w, lw)) DESC, turn DESC) AS rank FROM w JOIN l USING (conv_id) WHERE turn < lt) SELECT conv_id, turn, overlap FROM r WHERE rank <= 3""")
+def relevant_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three earlier turns that share most words with a conversation's last one, newest first among equals."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("w"))
+    last = words.groupBy("conv_id").agg(F.max_by("w", "turn").alias("lw"), F.max("turn").alias("lt"))
+    scored = words.join(last, "conv_id").where("turn < lt").select("conv_id", "turn", F.size(F.array_intersect("w", "lw")).alias("overlap"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("overlap"), F.desc("turn")))
+    return scored.withColumn("rank", rank).where("rank <= 3").drop("rank")
+
+
+@query("""WITH n AS (SELECT page_id, url, rtrim(regexp_replace(url, '[?#].*$', ''), '/') AS canonical, length(html) AS size FROM pages) SELECT canonical, count(*) AS pages, arg_max(page_id, (size, -page_id)) AS richest FROM n GROUP BY 1""")
+def pages_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages grouped by address without query, fragment and trailing slash; the largest of each."""
+    canonical = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", "")
+    best = F.max(F.struct(F.length("html").alias("s"), (-F.col("page_id")).alias("k"))).alias("b")
+    return table(spark, sf_dir, "pages").groupBy(canonical.alias("canonical")).agg(F.count("*").alias("pages"), best).select("canonical", "pages", (-F.col("b.k")).alias("richest"))
+
+
+@query("""SELECT md5(text) AS digest, min(doc_id) AS kept, count(*) - 1 AS skipped FROM documents GROUP BY 1""")
+def unchanged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose content was seen before are skipped."""
+    return keep_best(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest")).withColumn("skipped", F.count("*").over(Window.partitionBy("digest")) - 1), ["digest"], F.col("doc_id")).select("digest", F.col("doc_id").alias("kept"), "skipped")
