@@ -54,6 +54,18 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, seed: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``max_rows`` labelled rows, those whose hashed id is smallest.
+
+    The sample is drawn from (doc_id, label) alone and its bound is proven by
+    the limit, so it is broadcast to the texts and no text is shuffled.
+    """
+    known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("labelled_id"), "label")
+    known = known.orderBy(F.xxhash64(F.col("labelled_id").cast("string"), F.lit(seed)), "labelled_id", "label").limit(max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
+
+
 def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column as one array, and each row's bounds; null is empty."""
     if isinstance(column, pa.ChunkedArray):

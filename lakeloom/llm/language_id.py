@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import _BASE, mix64
+from lakeloom.llm.common import _BASE, labelled_sample, mix64
 from lakeloom.llm.subword_classifier import text_slices
 
 
@@ -43,7 +43,7 @@ class Config:
     max_rows: int = 2_000
     cap: float = 12.0
     seed: int = 5
-    slice_bytes: int = 4_000_000
+    slice_bytes: int = 2_000_000
 
 
 _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x10000)), dtype=bool, count=0x10000)
@@ -185,7 +185,7 @@ def train(labelled: DataFrame, config: Config = Config()) -> Model:
         parts.append(_estimate(codes, own["n"].to_numpy(np.float64), config.order, config.discount))
     model = Model(languages, config.order, [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts])
     if languages:
-        sample = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("truth")).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(config.seed)), "doc_id").limit(config.max_rows)
+        sample = labelled_sample(known, known.select("doc_id", F.col("lang").cast("string").alias("label")), config.max_rows, config.seed).withColumnRenamed("label", "truth")
         own = _score(sample, model, config, extra="truth").where("lang_pred = truth").groupBy("truth").agg(F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("s")).collect()
         limit = {r.truth: r.m + 4 * r.s + 0.5 for r in own}
         model.limits = np.array([limit.get(x, np.inf) for x in languages])

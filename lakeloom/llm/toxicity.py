@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialise, shingle_hashes
+from lakeloom.llm.common import labelled_sample, materialise, shingle_hashes
 
 #: Letters of other scripts, digits and signs, with the letter each stands for.
 LOOKALIKES = {
@@ -133,8 +133,8 @@ def _scores(texts: Iterable[str | None], automaton) -> np.ndarray:
     return np.array([weigh(t, automaton) if automaton is not None and t else 0.0 for t in texts], dtype=np.float64)
 
 
-def learn(labelled: DataFrame, config: Config = Config()) -> Lexicon:
-    """A lexicon from (doc_id, text, label) rows, label 1 for toxic."""
+def learn(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Lexicon:
+    """A lexicon from (doc_id, text) and (doc_id, label), label 1 for toxic."""
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +142,7 @@ def learn(labelled: DataFrame, config: Config = Config()) -> Lexicon:
             key = [int(hashes[a]) - (1 << 63) if b > a else 0 for a, b in zip(edges[:-1], edges[1:], strict=True)]  # sorted: the first is the smallest
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64())], names=["text", "label", "key"])
 
-    sample = labelled.where(F.col("label").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label"))
-    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(config.seed)), "doc_id", "text").limit(config.max_rows).select("text", "label")
+    sample = labelled_sample(docs, labels, config.max_rows, config.seed).select("text", F.col("label").cast("int").alias("label"))
     sample = materialise(sample.mapInArrow(keyed, "text string, label int, key long").groupBy("key", "label").agg(F.max("text").alias("text")), "toxic-sample")
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)

@@ -25,12 +25,13 @@ def edge_docs(spark):
 def test_quality_edges(spark):
     docs = edge_docs(spark)
     rows = [(i, ("good text here " if i % 2 else "### $$$ %%% ") * 5, i % 2) for i in range(40)] + [(99, "x", None)]
-    model = subword_classifier.train(spark.createDataFrame(rows, "doc_id long, text string, label int"), subword_classifier.Config(buckets=1 << 12))
+    known = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = subword_classifier.train(known.drop("label"), known, subword_classifier.Config(buckets=1 << 12))
     got = subword_classifier.score(docs, model, subword_classifier.Config(buckets=1 << 12)).collect()
     assert len(got) == 6
     assert {r.score for r in got if r.doc_id in (1, 2)} == {model.prior[1]}
     assert len({r.score for r in got if r.doc_id == 3}) == 1
-    none = subword_classifier.train(spark.createDataFrame([], "doc_id long, text string, label int"))
+    none = subword_classifier.train(docs, known.limit(0))
     assert {r.score for r in subword_classifier.score(docs, none).collect()} == {0.5}
     assert subword_classifier.score(docs.limit(0), model).count() == 0
 
@@ -54,7 +55,8 @@ def test_folding():
 
 def test_toxic_edges(spark):
     rows = [(i, f"w{i} is a {'stupid moron' if i % 3 == 0 else 'fine person'} in place {i}", int(i % 3 == 0)) for i in range(90)]
-    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    known = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    lexicon = toxicity.learn(known.drop("label"), known)
     assert any("stup" in k for k in lexicon.weights)
     docs = spark.createDataFrame([(1, "You 5tup1d one"), (2, ""), (3, None), (None, "a fine place"), (4, "fine " * 30_000 + "stupid moron")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(docs, lexicon).collect()}
@@ -62,7 +64,7 @@ def test_toxic_edges(spark):
     phrase = toxicity.Lexicon({" trash ": 5.0})
     automaton = toxicity.matcher(phrase)
     assert toxicity.weigh("put it in the trash can", automaton) == 0 < toxicity.weigh("you trash", automaton)
-    empty = toxicity.learn(spark.createDataFrame([], "doc_id long, text string, label int"))
+    empty = toxicity.learn(docs, known.limit(0))
     assert not empty.weights and toxicity.score(docs, empty).count() == 5
 
 
