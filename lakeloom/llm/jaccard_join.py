@@ -2,7 +2,9 @@
 
 Texts with the same shingle set are one class; its member with the smallest id
 stands for it.  Representatives are partitioned into groups of similar sets:
-those that share their smallest shingle hash, split to at most ``group_size``.
+those that share their smallest shingle hash (among frequent shingles, where
+those make up ``hot_percent`` of a set, so that near copies of one text stay
+together whatever else each holds), split to at most ``group_size``.
 The token-group matrix has a row for each (shingle, group) of a prefix of the
 members' shingles.  A representative queries the matrix with its own prefix:
 two sets that link share at least k shingles of prefixes of length
@@ -50,7 +52,9 @@ class Config:
     group_size: int = 256
     queries_per_task: int = 2048
     sketch_bits: int = 22
-    slice_bytes: int = 8_000_000
+    hot_level: int = 2
+    hot_percent: int = 30
+    slice_bytes: int = 4_000_000
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -115,21 +119,23 @@ def shingle_profiles(docs: DataFrame, levels: np.ndarray, config: Config) -> Dat
             for row, part in text_slices(batch.column(1), config.slice_bytes):
                 hashes, edges = shingle_hashes(part, config.width)
                 with np.errstate(over="ignore"):
-                    cells = (level[(hashes >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6))
+                    grade = level[(hashes >> shift).astype(np.int64)]
+                    cells = (grade.astype(np.uint64) << np.uint64(58)) | (hashes >> np.uint64(6))
                     sums = [np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(hashes ^ np.uint64(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                 n = np.diff(edges)
                 take = n - least_overlap(n, config.percent) + np.minimum(hits_asked(n), least_overlap(n, config.percent))
-                prefixes = []
+                prefixes, key = [], np.zeros(len(part), dtype=np.uint64)
                 for i in range(len(part)):
                     own = hashes[edges[i] : edges[i + 1]]
+                    hot = own[grade[edges[i] : edges[i + 1]] >= config.hot_level]
+                    if len(own):
+                        key[i] = hot[0] if 100 * len(hot) >= config.hot_percent * len(own) and len(hot) else own[0]
                     prefixes.append(own[np.argsort(cells[edges[i] : edges[i + 1]], kind="stable")[: take[i]]].view(np.int64))
                 size = np.array([len(p) for p in prefixes], dtype=np.int64)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
-                key = np.zeros(len(part), dtype=np.int64)
-                key[n > 0] = hashes[edges[:-1][n > 0]].view(np.int64)
                 with np.errstate(over="ignore"):
                     signs = [(s[edges[1:]] - s[edges[:-1]]).view(np.int64) for s in sums]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array(n.astype(np.int64)), pa.array(signs[0]), pa.array(signs[1]), pa.array(key), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))], names=["doc_id", "n", "sig_a", "sig_b", "key", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array(n.astype(np.int64)), pa.array(signs[0]), pa.array(signs[1]), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))], names=["doc_id", "n", "sig_a", "sig_b", "key", "prefix"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, key long, prefix array<long>")
 
