@@ -51,22 +51,21 @@ def anchored_counts(events: DataFrame, seconds: int, key: str = "user_id") -> Da
 
 
 def stream_anchored_counts(events: DataFrame, seconds: int, key: str = "user_id") -> DataFrame:
-    """The streaming form: state is the open window's start and count; a key idle for longer is forgotten."""
+    """The streaming form: state is the open window's start and count, forgotten once the watermark has passed the window."""
 
     def step(k: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         start, count = state.get if state.exists else (None, 0)
-        start = pd.Timestamp(start) if start is not None else None
         batch = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         places, start, count = _fold(batch, start, count, seconds)
-        state.update((start.to_pydatetime(), count))
-        state.setTimeoutDuration(seconds * 1000)
+        state.update((start, count))
+        state.setTimeoutTimestamp(int(start.timestamp() * 1000) + seconds * 1000)
         yield batch.assign(key=k[0], in_window=places)[["key", "event_id", "ts", "in_window"]]
 
-    slim = events.select(F.col(key).alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return slim.groupBy("key").applyInPandasWithState(step, ANCHORED, "start timestamp, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    slim = events.select(F.col(key).alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", f"{seconds} seconds")
+    return slim.groupBy("key").applyInPandasWithState(step, ANCHORED, "start timestamp, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def read_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
