@@ -173,25 +173,35 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, config: Config = Conf
                 if table is None:
                     table, names = (np.stack(vectors) if vectors else np.zeros((0, dim))), np.array(ids, dtype=np.int64)
                     held = {key: np.array(m, dtype=np.int64) for key, m in members.items()}
+                    visited = np.zeros(len(names), dtype=bool)
                 found = [held[key] for t in to[i] if (key := (t["bucket"], t["part"])) in held]
                 if found:
-                    rows_ = np.unique(np.concatenate(found))
+                    visited[:] = False
+                    for m in found:
+                        visited[m] = True
+                    rows_ = np.flatnonzero(visited)
                     near, scores = _best(names[rows_], table[rows_] @ x[i], k + 1)
                     out.append((entry[i], near, scores))
             yield _pairs(out)
 
     found = materialise(work.repartitionById(n_parts, F.col("task")).sortWithinPartitions("role").select("task", "role", "entry", "v", "to").mapInArrow(match, "query long, entry long, score double"), "candidates")
     ids = entries.select("entry", "ids")
-    reached = found.dropDuplicates(["query", "entry"]).join(ids.select("entry", F.size("ids").alias("n")), "entry").groupBy(F.col("query").alias("entry")).agg(F.sum("n").alias("n"))
+    found = materialise(_ranked(found, k), "best")
+    reached = found.join(ids.select("entry", F.size("ids").alias("n")), "entry").groupBy(F.col("query").alias("entry")).agg(F.sum("n").alias("n"))
     short = queries.join(reached, "entry", "left").where(F.coalesce("n", F.lit(0)) < k + 1).select("entry", "v")
     found = found.unionByName(_scan(short, entries, dim, k, config))
-    ranked = found.dropDuplicates(["query", "entry"]).withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("place") <= k + 6)  # a few more: rounding doesn't decide
-    exact = ranked.join(entries.select("entry", "ids", F.col("v").alias("w")), "entry").join(queries.select(F.col("entry").alias("query"), "v"), "query").select("query", F.explode("ids").alias("vec_id"), _dot(F.col("v"), F.col("w")).alias("score"))
+    exact = _ranked(found, k).join(entries.select("entry", "ids", F.col("v").alias("w")), "entry").join(queries.select(F.col("entry").alias("query"), "v"), "query").select("query", F.explode("ids").alias("vec_id"), _dot(F.col("v"), F.col("w")).alias("score"))
     pairs = asked.join(exact, F.col("entry") == F.col("query")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best entries of each query: a few more than asked for, so that rounding doesn't decide."""
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))
+    return found.dropDuplicates(["query", "entry"]).withColumn("place", place).where(F.col("place") <= k + 6).drop("place")
+
+
 def _pairs(out: list[tuple]) -> pa.RecordBatch:
     n = [len(s) for _, _, s in out]
     query = np.repeat(np.array([q for q, _, _ in out], dtype=np.int64), n)
