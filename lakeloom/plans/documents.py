@@ -82,7 +82,7 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", *[c.alias(k) for k, c in C.page_kind(F.col("html"), F.col("url")).items()])
 
 
-@query(f"""WITH t AS (SELECT page_id, {VISIBLE_SQL} AS v, html FROM pages) SELECT page_id, round(CASE WHEN length(v) < 100 THEN 0.1 ELSE greatest(0.0, least(1.0, 1.0 - CASE WHEN contains(lower(html), 'faq') AND NOT contains(lower(v), 'faq') THEN 0.15 ELSE 0 END - CASE WHEN contains(html, '<table') AND NOT contains(v, '|') THEN 0.1 ELSE 0 END)) END, 4) + 0.0 AS quality FROM t""")
+@query(f"""WITH t AS (SELECT page_id, {VISIBLE_SQL} AS v, html FROM pages) SELECT page_id, round(CAST(CASE WHEN length(v) < 100 THEN 0.1 ELSE greatest(0.0, least(1.0, 1.0 - CASE WHEN contains(lower(html), 'faq') AND NOT contains(lower(v), 'faq') THEN 0.15 ELSE 0 END - CASE WHEN contains(html, '<table') AND NOT contains(v, '|') THEN 0.1 ELSE 0 END)) END AS DOUBLE), 4) + 0.0 AS quality FROM t""")
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the text of a page stands for its HTML."""
     text, html = visible_text(F.col("html")), F.col("html")

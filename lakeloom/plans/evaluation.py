@@ -37,7 +37,7 @@ def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, sf_dir).agg(F.count("*").alias("queries"), F.round(F.avg("precision"), 4).alias("precision"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), (F.avg("precision") >= V.RECALL_FROM).alias("passed"))
 
 
-@query("""SELECT conv_id, turn, greatest(0.0, round(1.0 - CASE WHEN turn > 0 THEN 0.0 ELSE 0.4 END - CASE WHEN contains(lower(text), 'never') THEN 0.5 ELSE 0.0 END - CASE WHEN length(text) < 50 THEN 0.2 ELSE 0.0 END - CASE WHEN turn % 5 = 0 THEN 0.3 ELSE 0.0 END, 2)) + 0.0 AS score
+@query("""SELECT conv_id, turn, CAST(greatest(0.0, round(1.0 - CASE WHEN turn > 0 THEN 0.0 ELSE 0.4 END - CASE WHEN contains(lower(text), 'never') THEN 0.5 ELSE 0.0 END - CASE WHEN length(text) < 50 THEN 0.2 ELSE 0.0 END - CASE WHEN turn % 5 = 0 THEN 0.3 ELSE 0.0 END, 2)) AS DOUBLE) + 0.0 AS score
 FROM conversations WHERE role = 'assistant'""")
 def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every answer."""

@@ -73,7 +73,7 @@ def knowledge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("chunks"), F.max("doc_id").alias("newest"), F.sum("n_chars").alias("chars")).orderBy(F.desc("chunks"), "source")
 
 
-@query("""SELECT doc_id, source, CASE WHEN source = 'src7' THEN 0.95 ELSE 0.9 END AS similarity FROM documents WHERE source ILIKE '%rc7%' OR source = 'src7' ORDER BY doc_id LIMIT 20""")
+@query("""SELECT doc_id, source, CAST(CASE WHEN source = 'src7' THEN 0.95 ELSE 0.9 END AS DOUBLE) AS similarity FROM documents WHERE source ILIKE '%rc7%' OR source = 'src7' ORDER BY doc_id LIMIT 20""")
 def chunks_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 chunks of a source, exact names above partial ones."""
     return table(spark, sf_dir, "documents").where(F.col("source").ilike("%rc7%") | (F.col("source") == "src7")).select("doc_id", "source", F.when(F.col("source") == "src7", 0.95).otherwise(0.9).alias("similarity")).orderBy("doc_id").limit(20)

@@ -46,7 +46,7 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH h AS (SELECT conv_id, turn, {count_sql("lower(text)", [*V.JAILBREAK, *V.INJECTION])} AS hits FROM conversations)
-SELECT conv_id, turn, hits, round(least(1.0, hits * 0.3), 2) AS confidence, CASE WHEN hits > 0 THEN 'critical' ELSE 'low' END AS level FROM h""")
+SELECT conv_id, turn, hits, CAST(round(least(1.0, hits * 0.3), 2) AS DOUBLE) AS confidence, CASE WHEN hits > 0 THEN 'critical' ELSE 'low' END AS level FROM h""")
 def jailbreaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Override attempts in messages.  The two look-ahead patterns are left out here, as the SQL engine lacks them."""
     hits = C.jailbreak_hits(F.col("text"), lookahead=False)
@@ -71,7 +71,7 @@ def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RISK_SQL = f"""r AS (SELECT doc_id, lang, least(100.0, {count_sql("lower(text)", V.FRAUD)} * 25.0) AS fraud, least(100.0, 25.0 * {count_sql("text", ["(?i)" + p for p in V.PII.values()])}) AS pii,
 least(100.0, 50.0 * ({times_sql("lower(text)", ("api_key", "password", "secret"))})) AS leakage FROM documents), c AS (SELECT *, least(100.0, (fraud * 0.3 + pii * 0.2 + leakage * 0.15) / 0.65) AS score FROM r),
-b AS (SELECT doc_id, lang, fraud, pii, leakage, round(score, 4) AS score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level, score >= 70 AS escalate FROM c)"""
+b AS (SELECT doc_id, lang, CAST(fraud AS DOUBLE) AS fraud, CAST(pii AS DOUBLE) AS pii, CAST(leakage AS DOUBLE) AS leakage, CAST(round(score, 4) AS DOUBLE) AS score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level, score >= 70 AS escalate FROM c)"""
 
 
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ def top_tenants_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT user_id, sum(value) AS used FROM events GROUP BY 1), l AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 4000.0 WHEN 'MACHINERY' THEN 8000.0 END AS cap FROM customer)
-SELECT user_id, round(used, 2) AS used, coalesce(cap, 2000.0) AS allowed, round(100 * used / coalesce(cap, 2000.0), 1) AS percent, used >= 0.8 * coalesce(cap, 2000.0) AS soft,
+SELECT user_id, round(used, 2) AS used, CAST(coalesce(cap, 2000.0) AS DOUBLE) AS allowed, round(100 * used / coalesce(cap, 2000.0), 1) AS percent, used >= 0.8 * coalesce(cap, 2000.0) AS soft,
 used >= coalesce(cap, 2000.0) AS hard, round(greatest(0.0, coalesce(cap, 2000.0) - used), 2) AS remaining FROM u LEFT JOIN l ON c_custkey = user_id""")
 def quota_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Use against each tenant's plan limit, the free plan's where a tenant has none."""
