@@ -102,7 +102,7 @@ def write_training_order(docs: DataFrame, folder: str, key: int = 1, seq_len: in
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             index = np.array([firsts[p] for p in batch.column(0).to_pylist()], dtype=np.int64) + batch.column(1).to_numpy()
             slots = feistel_slots(index, total, key)
