@@ -115,4 +115,4 @@ def count_document_tokens(docs: DataFrame, folder: str, **options) -> DataFrame:
 
     placed = materialise(write_token_files(docs, folder, **options), "token-files")
     counted = separator_scan(docs.sparkSession, folder, options.get("end_id", END_ID), options.get("dtype", DTYPE))
-    return placed.join(counted, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    return placed.hint("merge").join(counted, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
