@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Lexi
         keys += [k for k, n in seen[0].items() if k not in seen[1]]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["term", "toxic", "clean"])
 
-    counts = sample.select("text", "label").mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 3")
+    counts = sample.select("text", "label").repartition(24).mapInArrow(counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 3")
     share = toxic / (toxic + clean) if clean else 0.5
     likely = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     # Chance that a term unrelated to toxicity is so one-sided (Chernoff bound on a binomial share).
@@ -177,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Lexi
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_scores(batch.column(0).to_pylist(), automaton)), batch.column(1)], names=["x", "label"])
 
-    fit = sample.select("text", "label").mapInArrow(weighed, "x double, label int").toPandas()
+    fit = sample.select("text", "label").repartition(24).mapInArrow(weighed, "x double, label int").toPandas()
     x, y = np.log1p(fit["x"].to_numpy()), (fit["label"] == 1).to_numpy().astype(float)
     a, b = 1.0, -1.0
     for _ in range(60):  # Newton's method with a small ridge, as the classes may be separable
