@@ -78,14 +78,14 @@ def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("target")).groupBy("target").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 5) AS charge, CASE WHEN l_quantity >= 40 THEN 'bulk' WHEN l_quantity >= 10 THEN 'normal' ELSE 'small' END AS tier,
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge, CASE WHEN l_quantity >= 40 THEN 'bulk' WHEN l_quantity >= 10 THEN 'normal' ELSE 'small' END AS tier,
 CASE l_linestatus WHEN 'F' THEN 0 ELSE CASE WHEN l_quantity >= 40 THEN 7 ELSE 3 END END AS days, l_shipdate FROM lineitem""")
 def order_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices after discount and tax, the quantity's tier and the days of delivery."""
     c = F.col
     bulk = c("l_quantity") >= 40
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(c("l_extendedprice") * (1 - c("l_discount")) * (1 + c("l_tax")), 5).alias("charge"), F.when(bulk, "bulk").when(c("l_quantity") >= 10, "normal").otherwise("small").alias("tier"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(c("l_extendedprice") * (1 - c("l_discount")) * (1 + c("l_tax")), 6).alias("charge"), F.when(bulk, "bulk").when(c("l_quantity") >= 10, "normal").otherwise("small").alias("tier"),
         F.when(c("l_linestatus") == "F", 0).when(bulk, 7).otherwise(3).alias("days"), "l_shipdate",
     )
 
