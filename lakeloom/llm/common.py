@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
@@ -49,6 +53,49 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one Arrow batch on its way to Python and back: texts are long, and a batch is held several times over.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batch size to BATCH_ROWS unless it is smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back_memory() -> None:
+    """Return free heap to the system: Python workers are reused, and an executor's heaps add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run, tokenises: bool = False):
+    """A batch function that gives memory back when its task ends.
+
+    A worker that tokenised before and now runs another operator drops its
+    tokeniser and the words it remembers first.
+    """
+
+    def wrapped(batches):
+        tokens = sys.modules.get("lakeloom.llm.tokens")
+        if tokens and not tokenises and tokens.tokenizer.cache_info().currsize:
+            tokens.tokenizer.cache_clear()
+            give_back_memory()
+        yield from run(batches)
+        give_back_memory()
+
+    return wrapped
+
+
+def map_texts(df: DataFrame, run, schema, tokenises: bool = False) -> DataFrame:
+    """mapInArrow for functions over texts: small batches, and memory given back."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidy(run, tokenises), schema)
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids are in no fold (null)."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds

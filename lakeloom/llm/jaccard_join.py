@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import bounded, materialise, mix64, shingle_hashes
+from lakeloom.llm.common import bounded, map_texts, materialise, mix64, shingle_hashes, tidy
 from lakeloom.llm.components import connected_components
 from lakeloom.llm.subword_classifier import text_slices
 
@@ -54,7 +54,7 @@ class Config:
     sketch_bits: int = 22
     hot_level: int = 2
     hot_percent: int = 30
-    slice_bytes: int = 4_000_000
+    slice_bytes: int = 2_000_000
 
 
 def least_overlap(n: np.ndarray | int, percent: int):
@@ -97,7 +97,7 @@ def frequency_levels(docs: DataFrame, config: Config) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([press.compress(c.astype("<u4").tobytes())], pa.binary())], names=["piece", "counts"])
 
     schema = "piece int, counts binary"
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
+    parts = map_texts(docs.select(F.col("text").cast("string").alias("text")), count, schema)
     # Dealt at random first, then by piece: a task holds one sketch at most, however many tasks there were.
     merged = parts.repartition("piece", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(merge, schema).repartition("piece").mapInArrow(merge, schema)
     counts = np.zeros(cells, dtype=np.int64)
@@ -137,7 +137,7 @@ def shingle_profiles(docs: DataFrame, levels: np.ndarray, config: Config) -> Dat
                     signs = [(s[edges[1:]] - s[edges[:-1]]).view(np.int64) for s in sums]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array(n.astype(np.int64)), pa.array(signs[0]), pa.array(signs[1]), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))], names=["doc_id", "n", "sig_a", "sig_b", "key", "prefix"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long, key long, prefix array<long>")
+    return map_texts(_texts(docs), run, "doc_id long, n long, sig_a long, sig_b long, key long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, config: Config) -> DataFrame:
@@ -150,7 +150,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, config: Config) -> DataFrame:
                 raw = hashes.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array([raw[8 * a : 8 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["doc_id", "tokens"])
 
-    return _texts(docs).join(bounded(ids.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens binary")
+    return map_texts(_texts(docs).join(bounded(ids.select("doc_id").distinct()), "doc_id", "left_semi"), run, "doc_id long, tokens binary")
 
 
 class _Group:
@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, config: Config = Config()) -> DataFrame:
     queries = wanted.join(per_group, "target").select(F.col("target").alias("grp"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.lit(1).alias("role"), "doc_id", "own").join(reps.select("doc_id", "copies"), "doc_id").select("grp", "part", "role", "doc_id", "copies", "own")
     work = members.unionByName(queries)
     sets = materialise(whole_sets(docs, work.select("doc_id"), config), "sets")
-    opened = work.join(sets, "doc_id").select("grp", "part", "role", "doc_id", "copies", "own", "tokens").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "doc_id").mapInArrow(_open_groups(config.percent), "a long, b long, links long")
+    opened = work.join(sets, "doc_id").select("grp", "part", "role", "doc_id", "copies", "own", "tokens").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "doc_id").mapInArrow(tidy(_open_groups(config.percent)), "a long, b long, links long")
     opened = materialise(opened, "links")
 
     roots = connected_components(opened.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import _BASE, labelled_sample, mix64
+from lakeloom.llm.common import _BASE, labelled_sample, map_texts, mix64
 from lakeloom.llm.subword_classifier import text_slices
 
 
@@ -145,7 +145,7 @@ def count_grams(labelled: DataFrame, order: int, slice_bytes: int) -> DataFrame:
                     grams = [raw[i : i + 4 * order] for i in range(0, len(raw), 4 * order)]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.binary()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
-    return labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_texts(labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), run, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _estimate(codes: np.ndarray, n: np.ndarray, order: int, discount: float) -> tuple[list, list, float]:
@@ -222,7 +222,7 @@ def _score(docs: DataFrame, model: Model, config: Config, extra: str | None = No
 
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")] + ([F.col(extra)] if extra else [])
     schema = "doc_id long, lang_pred string, score double, entropy double, rejected boolean" + (f", {extra} string" if extra else "")
-    return docs.select(*columns).mapInArrow(run, schema)
+    return map_texts(docs.select(*columns), run, schema)
 
 
 def identify(docs: DataFrame, model: Model, config: Config = Config()) -> DataFrame:

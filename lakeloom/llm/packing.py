@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm.common import map_texts
 from lakeloom.llm.tokens import default_tokenizer, encode_with_end
 
 SCHEMA = (
@@ -146,4 +147,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
         if waiting:
             yield flush(True)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, SCHEMA, tokenises=True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import _BASE, _BYTE_CODES, labelled_sample, mix64, span_hashes, string_bytes, word_spans
+from lakeloom.llm.common import _BASE, _BYTE_CODES, labelled_sample, map_texts, mix64, span_hashes, string_bytes, word_spans
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Config:
     rate: float = 0.4
     max_rows: int = 4000
     seed: int = 7
-    slice_bytes: int = 2_000_000
+    slice_bytes: int = 750_000
 
 
 @dataclass
@@ -128,19 +128,20 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Mode
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), batch.column(2).slice(row, len(part)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "label", "kinds", "counts"])
 
     label_type = sample.schema["label"].dataType.simpleString()
-    rows = sorted(sample.mapInArrow(run, f"doc_id long, label {label_type}, kinds binary, counts binary").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, str(r.label)))
-    classes = sorted({r.label for r in rows})
-    target = np.array([classes.index(r.label) for r in rows], dtype=np.int64)
-    prior = np.bincount(target, minlength=len(classes)) / max(len(rows), 1)
+    got = map_texts(sample, run, f"doc_id long, label {label_type}, kinds binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    labels_ = got["label"].to_pylist()
+    classes = sorted(set(labels_))
+    target = np.array([classes.index(x) for x in labels_], dtype=np.int64)
+    prior = np.bincount(target, minlength=len(classes)) / max(len(labels_), 1)
     rng = np.random.default_rng(config.seed)
-    vectors = rng.uniform(-1, 1, (config.buckets, config.dim)).astype(np.float32) / config.dim
+    vectors = (rng.random((config.buckets, config.dim), dtype=np.float32) * 2 - 1) / config.dim
     output = np.zeros((config.dim, max(len(classes), 1)), dtype=np.float32)
     if len(classes) < 2:
         return Model(classes, prior, vectors, output)
-    sparse = [(np.frombuffer(r["kinds"], "<i4"), np.frombuffer(r["counts"], "<f4")) for r in rows]
-    steps, done = config.epochs * len(rows), 0
+    sparse = [(np.frombuffer(k.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<f4")) for k, c in zip(got["kinds"], got["counts"], strict=True)]
+    steps, done = config.epochs * len(sparse), 0
     for _ in range(config.epochs):
-        for i in rng.permutation(len(rows)):
+        for i in rng.permutation(len(sparse)):
             kinds, counts = sparse[i]
             rate = config.rate * (1 - done / steps)
             done += 1
@@ -180,7 +181,7 @@ def with_scores(docs: DataFrame, model: Model, config: Config = Config(), positi
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return map_texts(docs, run, StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def score(docs: DataFrame, model: Model, config: Config = Config(), positive: object = 1) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeloom.llm.common import map_texts, materialise
 from lakeloom.llm.tokens import default_tokenizer, encode_with_end
 
 END_ID = 49407
@@ -62,7 +63,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str | None =
                     ordinal += n
         fs.move(draft, f"{base}/{name}")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "file string, ordinal long, doc_id long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "file string, ordinal long, doc_id long", tokenises=True)
 
 
 def separator_scan(spark: SparkSession, folder: str, end_id: int = END_ID, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -111,8 +112,6 @@ def separator_scan(spark: SparkSession, folder: str, end_id: int = END_ID, dtype
 
 def count_document_tokens(docs: DataFrame, folder: str, **options) -> DataFrame:
     """Token counts of documents, through flat files and back: (doc_id, file, ordinal, start, n_tokens)."""
-    from lakeloom.llm.common import materialise
-
     placed = materialise(write_token_files(docs, folder, **options), "token-files")
     counted = separator_scan(docs.sparkSession, folder, options.get("end_id", END_ID), options.get("dtype", DTYPE))
     return placed.hint("merge").join(counted, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")

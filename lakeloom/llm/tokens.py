@@ -10,6 +10,7 @@ changes no result.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +37,7 @@ class WordTokenizer:
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True  # a special token's name in a text is ordinary text
-        self._cache: dict[str, np.ndarray] = {}
+        self._cache: dict[str, bytes] = {}  # the ids as 32-bit numbers
         self._cache_words = cache_words
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,15 +53,15 @@ class WordTokenizer:
         if len(cache) + len(missing) > self._cache_words:
             cache.clear()
             missing = words
-        for i in range(0, len(missing), 100_000):
-            part = missing[i : i + 100_000]
+        for i in range(0, len(missing), 5_000):  # encodings hold far more than ids: few at a time
+            part = missing[i : i + 5_000]
             for w, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype=np.uint32)
+                cache[w] = array("I", e.ids).tobytes()
         if not words:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)
         lists = [cache[w] for w in words]
-        lens = np.fromiter(map(len, lists), dtype=np.int64, count=len(words))
-        flat, starts = np.concatenate(lists), np.concatenate([[0], np.cumsum(lens)])
+        lens = np.fromiter(map(len, lists), dtype=np.int64, count=len(words)) // 4
+        flat, starts = np.frombuffer(b"".join(lists), dtype=np.uint32), np.concatenate([[0], np.cumsum(lens)])
         idx = coded.indices.to_numpy(zero_copy_only=False)
         sizes = lens[idx]
         total = np.concatenate([[0], np.cumsum(sizes)])
@@ -75,7 +76,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def encode_with_end(texts: pa.Array, path: str, end_id: int, slice_chars: int = 8_000_000):
+def encode_with_end(texts: pa.Array, path: str, end_id: int, slice_chars: int = 3_000_000):
     """Yield (first row, ids, bounds) for slices of a column; each row's ids end with ``end_id``.
 
     Slices hold about ``slice_chars`` bytes, so that a batch of very long texts stays small.
@@ -89,3 +90,4 @@ def encode_with_end(texts: pa.Array, path: str, end_id: int, slice_chars: int =
         ids = np.insert(ids, bounds[1:], np.uint32(end_id))
         yield row, ids, bounds + np.arange(len(bounds))
         row = upto
+        pa.default_memory_pool().release_unused()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import labelled_sample, materialise, shingle_hashes
+from lakeloom.llm.common import labelled_sample, map_texts, materialise, shingle_hashes
 
 #: Letters of other scripts, digits and signs, with the letter each stands for.
 LOOKALIKES = {
@@ -206,4 +206,4 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 p = 1 / (1 + np.exp(-(shared.value.slope * np.log1p(x) + shared.value.intercept)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(x)], names=["doc_id", "score", "weight"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, weight double")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double, weight double")

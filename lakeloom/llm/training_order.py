@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialise, mix64
+from lakeloom.llm.common import map_texts, materialise, mix64
 from lakeloom.llm.token_counts import DTYPE, END_ID, open_store
 from lakeloom.llm.tokens import default_tokenizer, encode_with_end
 
@@ -83,7 +83,7 @@ def cut_sequences(docs: DataFrame, tokenizer_path: str | None, end_id: int, dtyp
         if len(rest):
             yield emit(np.concatenate([rest, np.full(seq_len - len(rest), end_id, dtype=np.uint32)]), names, np.asarray(edges), 1)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STAGED)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, STAGED, tokenises=True)
 
 
 def write_training_order(docs: DataFrame, folder: str, key: int = 1, seq_len: int = 2048, shard_rows: int = 4096, tokenizer_path: str | None = None, end_id: int = END_ID, dtype: str = DTYPE) -> DataFrame:

@@ -69,27 +69,52 @@ def test_dedup_stage(spark):
     assert sorted((r.doc_id or 0) for r in dedup_stage(spark, docs, SF).collect()) == [0, 2, 9, 11]
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
 @pytest.fixture(scope="module")
 def run(spark):
-    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
+    docs, seen = spark.read.parquet(f"{SMALL}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.materialise(stage(spark, docs, SF), f"test-{name}")
+        docs = corpus_pipeline.materialise(stage(spark, docs, SMALL), f"test-{name}")
         seen.append((name, docs))
     return seen
 
 
-def test_pipeline(spark, run):
-    source = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    ids = lambda df: [r.doc_id for r in df.select("doc_id").collect()]
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_pipeline_against_brute_force(spark, run):
+    """Each stage's rows against another way to get them from the stage before."""
+    from test_jaccard_join import brute
+    from test_quality_rules import brute as counts
+    from tokenizers import Tokenizer
+
+    from lakeloom.llm.queries import op2_subword_quality
+    from lakeloom.llm.tokens import default_tokenizer
+
+    source = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     assert all(df.columns == source.columns for _, df in run[:-1])
-    good = set(ids(run[0][1]))
-    assert sum((d in good) == bool(q) for d, q in labels.items()) / len(labels) > 0.97
-    ruled = ids(run[1][1])
-    assert set(ruled) == {r.doc_id for r in judge(run[0][1]).where("kept").collect()}
+    good = ids(run[0][1])
+    assert good == sorted(r.doc_id for r in op2_subword_quality(spark, SMALL).where("predicted = 1").collect())
+    assert sum((d in set(good)) == bool(q) for d, q in labels.items()) / len(labels) > 0.85  # learned from a few dozen rows
+    passed = {r.doc_id for r in run[0][1].collect() if (c := counts(r.text))[0] >= 10 and 100 * c[4] <= 20 * c[0] and 100 * c[2] <= 50 * c[0]}
+    kept = ids(run[1][1])
+    assert set(kept) <= passed and len(kept) > 0.9 * len(passed)  # hosts may take more
+    classes = brute([(r.doc_id, r.text) for r in run[1][1].collect()], 5, 80)
     single = ids(run[2][1])
-    assert len(single) == len(set(single)) < len(ruled)
-    assert set(ids(run[3][1])) <= set(single)
+    assert single == sorted({c for _, c, _ in classes.values()}) and len(single) < len(kept)
+    mixed = run[3][1].collect()
+    assert {r.doc_id for r in mixed} <= set(single)
+    tok = Tokenizer.from_file(default_tokenizer())
+    total = sum(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed)
     packed = run[4][1].groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()
-    assert packed.n.max() <= 4096 and (packed.n == 4096).mean() > 0.8
-    assert corpus_pipeline.run(spark, SF).count() == run[4][1].count()
+    assert packed.n.sum() == total and packed.n.max() <= 4096
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in packed.n)
+    assert padding <= 0.02 * total
+
+
+def test_pipeline_in_one_call(spark, run):
+    assert corpus_pipeline.run(spark, SMALL).count() == run[4][1].count()
