@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a Python worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 def default_tokenizer() -> str:
@@ -28,6 +28,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_table() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where printable, else from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+_LETTERS = _byte_table()
+
+
+def _byte_letters(word: str) -> str | None:
+    """A word of small Latin letters as the vocabulary's merges want it; None for any other word.
+
+    Normalising and splitting leave such a word as it is, so the merges alone
+    give its ids.
+    """
+    if word.isascii():
+        return word if word.isalpha() and word.islower() else None
+    if word.isalpha() and max(word) < "\u0250" and word == word.lower():
+        return "".join([_LETTERS[b] for b in word.encode()])
+    return None
+
+
 class WordTokenizer:
     """Encodes string columns; one per Python worker and vocabulary file (see ``tokenizer``)."""
 
@@ -37,6 +60,7 @@ class WordTokenizer:
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        self._merge = self._tok.model.tokenize
         self._cache: dict[str, bytes] = {}  # the ids as 32-bit numbers
         self._cache_words = cache_words
 
@@ -47,14 +71,21 @@ class WordTokenizer:
         x = pc.replace_substring(pc.ascii_lower(x), "\n", " ")
         split = pc.split_pattern(x, " ")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
         cache = self._cache
         missing = [w for w in words if w not in cache]
         if len(cache) + len(missing) > self._cache_words:
             cache.clear()
             missing = words
-        for i in range(0, len(missing), 5_000):  # encodings hold far more than ids: few at a time
-            part = missing[i : i + 5_000]
+        rest = []
+        for w in missing:
+            letters = _byte_letters(w)
+            if letters is None:
+                rest.append(w)
+            else:
+                cache[w] = array("I", [t.id for t in self._merge(letters)]).tobytes()
+        for i in range(0, len(rest), 5_000):  # encodings hold far more than ids: few at a time
+            part = rest[i : i + 5_000]
             for w, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[w] = array("I", e.ids).tobytes()
         if not words:
@@ -76,7 +107,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def encode_with_end(texts: pa.Array, path: str, end_id: int, slice_chars: int = 3_000_000):
+def encode_with_end(texts: pa.Array, path: str, end_id: int, slice_chars: int = 1_500_000):
     """Yield (first row, ids, bounds) for slices of a column; each row's ids end with ``end_id``.
 
     Slices hold about ``slice_chars`` bytes, so that a batch of very long texts stays small.
