@@ -260,3 +260,31 @@ def jaccard_components(docs: DataFrame, config: Config = Config()) -> DataFrame:
     linked = some.select("doc_id", *sign).join(named, sign).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
     alone = profiles.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
+
+
+#: DuckDB SQL for the rows of jaccard_components() with the default settings: all pairs that share a shingle, and their closure.
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM w
+), n AS (
+  SELECT doc_id, len(s) AS n FROM s
+), e AS (
+  SELECT doc_id, unnest(s) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT i, j FROM p JOIN n x ON x.doc_id = i JOIN n y ON y.doc_id = j WHERE 100 * c >= 90 * (x.n + y.n - c)
+), u AS (
+  SELECT i, j FROM l UNION ALL SELECT j, i FROM l
+), r AS (
+  SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT u.j, r.root FROM r JOIN u ON u.i = r.node
+), c AS (
+  SELECT node, min(root) AS component FROM r GROUP BY 1
+), k AS (
+  SELECT i, count(*) AS links FROM u GROUP BY 1
+)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, component AS component_id, coalesce(links, 0) AS n_links FROM n JOIN c ON c.node = n.doc_id LEFT JOIN k ON k.i = n.doc_id
+"""

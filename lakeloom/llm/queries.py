@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.llm.jaccard_join import JOIN_SQL
 from lakeloom.llm.quality_rules import JUDGE_SQL
 
 
@@ -120,4 +121,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxic_lexicon": op10_toxic_lexicon,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_host_rules": JUDGE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_token_group_join": JOIN_SQL, "op5_host_rules": JUDGE_SQL}
