@@ -78,3 +78,33 @@ def test_edges(spark):
     none = train(spark.createDataFrame([], "doc_id long, text string, lang string"), Config())
     assert {r.lang_pred for r in identify(docs, none).collect()} == {"und"}
     assert identify(docs.limit(0), model).count() == 0
+
+
+def test_every_gram_counts(spark):
+    """A language with more than 300,000 distinct 4-grams keeps all of them."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 1_000))) for _ in range(340)]
+    model = train(spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    grams = {("\0\0\0" + t)[i : i + 4] for t in texts for i in range(len(t))}
+    assert len(grams) > 300_000 and len(model.grams[0][3][0]) == len(grams)
+
+
+def test_tables_give_what_arrays_give(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(None, "die katze", "de"), (-1, None, "en"), (-2, "12 --", "fr"), (-3, "жжж щщщ", None)], docs.schema)
+    docs = docs.unionByName(odd)
+    found = []
+    for config in (Config(), Config(broadcast_grams=0, hot_grams=0), Config(broadcast_grams=0, hot_grams=500)):
+        model = train(docs, config)
+        assert type(model).__name__ == ("Tables" if config.broadcast_grams == 0 else "Model")
+        rows = identify(docs, model, config).collect()
+        found.append((model.limits, sorted((-99 if r.doc_id is None else r.doc_id, r.lang_pred, round(r.score, 9), r.rejected) for r in rows)))
+    for limits, rows in found[1:]:
+        assert np.allclose(limits, found[0][0]) and rows == found[0][1]
+
+
+def test_limits_cover_every_language(spark):
+    """A language with few rows beside thousands of others has a limit of its own."""
+    rows = [(i, f"the cat sat on the mat and then number {i}", "en") for i in range(20_000)] + [(-1, "der hund und die katze sind hier", "de")]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"] and np.isfinite(model.limits).all()
