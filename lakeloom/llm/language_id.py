@@ -52,15 +52,14 @@ class Config:
     slice_bytes: int = 2_000_000
 
 
-_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x10000)), dtype=bool, count=0x10000)
+_LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def letters(texts: list[str | None], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """(code points, text of each): letters and single spaces, each text after ``pad`` zeros."""
     joined = "".join("\0" * pad + (t or "").replace("\0", " ").lower() for t in texts)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    letter = _LETTER[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
-    code = np.where(letter | (code == 0), code, 32).astype(np.uint32)
+    code = np.where(_LETTER[code] | (code == 0), code, 32).astype(np.uint32)
     text = (np.cumsum(code == 0) - 1) // pad  # a text starts every ``pad`` zeros
     keep = (code != 32) | np.concatenate([[False], (code[:-1] != 32) & (code[:-1] != 0)])[: len(code)]  # one space after a letter
     return code[keep], text[keep]

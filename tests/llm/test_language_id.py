@@ -108,3 +108,11 @@ def test_limits_cover_every_language(spark):
     rows = [(i, f"the cat sat on the mat and then number {i}", "en") for i in range(20_000)] + [(-1, "der hund und die katze sind hier", "de")]
     model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.languages == ["de", "en"] and np.isfinite(model.limits).all()
+
+
+def test_emoji_are_no_letters(spark):
+    code, _ = letters(["\U0001f600a\U00020000\U0001f680"], 1)
+    assert "".join(map(chr, code)).strip("\0 ") == "a\U00020000"
+    model = train(spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund ist hier", "de")], "doc_id long, text string, lang string"))
+    got = identify(spark.createDataFrame([(1, "\U0001f600\U0001f680"), (2, "\U0001f600 12, \U0001f680!")], "doc_id long, text string"), model).collect()
+    assert [(r.lang_pred, r.score, r.rejected) for r in got] == [("und", 0.0, True)] * 2
