@@ -38,7 +38,7 @@ def retrieval_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH q AS (SELECT conv_id, turn, {REQUEST_SQL} AS kind, CASE WHEN {count_sql(_L, [*V.JAILBREAK, *V.INJECTION])} > 0 THEN 'critical' ELSE 'low' END AS risk FROM conversations) SELECT conv_id, turn, kind, CASE WHEN risk = 'critical' OR kind = 'reasoning' THEN 'large' ELSE 'small' END AS model FROM q""")
 def model_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model that answers: the large one for risky messages and reasoning."""
-    risk = F.when(C.jailbreak_hits(F.col("text"), lookahead=False) > 0, "critical").otherwise("low")
+    risk = F.when(C.jailbreak_hits(F.col("text")) > 0, "critical").otherwise("low")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.request_class(F.col("text")).alias("kind"), risk.alias("r")).select("conv_id", "turn", "kind", P.model(F.col("kind"), F.col("r")).alias("model"))
 
 
@@ -59,7 +59,7 @@ CASE WHEN j THEN ['jailbreak_detected'] WHEN t THEN ['unsafe_content'] ELSE list
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", P.decision(F.col("text"), lookahead=False).alias("d")).select("doc_id", "lang", "d.action", "d.level", "d.flags")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", P.decision(F.col("text")).alias("d")).select("doc_id", "lang", "d.action", "d.level", "d.flags")
 
 
 @query(f"WITH {DECISION_SQL} SELECT * FROM e")

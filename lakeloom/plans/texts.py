@@ -48,8 +48,8 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH h AS (SELECT conv_id, turn, {count_sql("lower(text)", [*V.JAILBREAK, *V.INJECTION])} AS hits FROM conversations)
 SELECT conv_id, turn, hits, CAST(round(least(1.0, hits * 0.3), 2) AS DOUBLE) AS confidence, CASE WHEN hits > 0 THEN 'critical' ELSE 'low' END AS level FROM h""")
 def jailbreaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Override attempts in messages.  The two look-ahead patterns are left out here, as the SQL engine lacks them."""
-    hits = C.jailbreak_hits(F.col("text"), lookahead=False)
+    """Override attempts in messages.  The SQL lacks the two look-ahead patterns, as its engine has none."""
+    hits = C.jailbreak_hits(F.col("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", hits.alias("hits"))
     return rows.select("conv_id", "turn", "hits", F.round(F.least(F.lit(1.0), F.col("hits") * V.JAILBREAK_CONFIDENCE), 2).alias("confidence"), F.when(F.col("hits") > 0, "critical").otherwise("low").alias("level"))
 
