@@ -20,13 +20,15 @@ def degrees(both: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, hops: int, folder: str | None = None) -> DataFrame:
     """(node, hops): the nodes within so many steps along (a, b) edges of the seeds, with the least steps.
 
-    Each hop joins only the nodes that are new.  With ``folder`` (shared by all
+    Each hop joins only the nodes that are new.  Seeds with a column ``seed``
+    are kept apart: (seed, node, hops), the steps from each seed.  With ``folder`` (shared by all
     executors) a hop's table is written there, so that lineage stays short.
     """
     spark = edges.sparkSession
-    found = front = seeds.select("node").distinct().withColumn("hops", F.lit(0))
+    keys = [c for c in ("seed", "node") if c in seeds.columns]
+    found = front = seeds.select(*keys).distinct().withColumn("hops", F.lit(0))
     for h in range(1, hops + 1):
-        step = front.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(found, "node", "left_anti").withColumn("hops", F.lit(h))
+        step = front.join(edges, F.col("node") == F.col("a")).select(*keys[:-1], F.col("b").alias("node")).distinct().join(found, keys, "left_anti").withColumn("hops", F.lit(h))
         if folder:
             path = f"{folder}/hop-{uuid.uuid4().hex}"
             step.write.parquet(path)

@@ -1,4 +1,10 @@
-"""The product graph: which sources offer which products."""
+"""The product graph: which sources offer which products.
+
+``node_degrees``, ``graph_statistics``, ``two_hops`` and ``boosted_products``
+follow their SQL, which takes large orders (49 pieces and more) alone and one
+seed; ``full_...`` are the same over every edge, and from every node whose
+number is divisible by 100.
+"""
 
 from __future__ import annotations
 
@@ -11,21 +17,29 @@ from lakeloom.plans.registry import query, table
 EDGES_SQL = "e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    return table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(name("p", "l_partkey").alias("a"), name("s", "l_suppkey").alias("b")).distinct()
+    return table(spark, sf_dir, "lineitem").where(F.lit(True) if every else F.col("l_quantity") >= 49).select(name("p", "l_partkey").alias("a"), name("s", "l_suppkey").alias("b")).distinct()
 
 
 @query(f"WITH {EDGES_SQL} SELECT a AS node, md5(a) AS node_id, count(*) AS degree FROM u GROUP BY 1")
 def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of every node."""
-    return degrees(undirected(edges(spark, sf_dir))).select("node", F.md5("node").alias("node_id"), "degree")
+    return _degrees(edges(spark, sf_dir))
+
+
+def _degrees(e: DataFrame) -> DataFrame:
+    return degrees(undirected(e)).select("node", F.md5("node").alias("node_id"), "degree")
 
 
 @query(f"WITH {EDGES_SQL} SELECT left(a, 1) AS kind, count(DISTINCT a) AS nodes, count(*) AS edge_ends FROM u GROUP BY 1")
 def graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edge ends by kind."""
-    return undirected(edges(spark, sf_dir)).groupBy(F.substring("a", 1, 1).alias("kind")).agg(F.countDistinct("a").alias("nodes"), F.count("*").alias("edge_ends"))
+    return _statistics(edges(spark, sf_dir))
+
+
+def _statistics(e: DataFrame) -> DataFrame:
+    return undirected(e).groupBy(F.substring("a", 1, 1).alias("kind")).agg(F.countDistinct("a").alias("nodes"), F.count("*").alias("edge_ends"))
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, h AS (SELECT 's1' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM h JOIN u ON a = node WHERE hops < 2) SELECT node, min(hops) AS hops FROM h GROUP BY 1""")
@@ -37,11 +51,41 @@ def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EDGES_SQL}, d AS (SELECT a, count(*) AS n FROM u GROUP BY 1), r AS (SELECT p_partkey, round(p_retailprice / 3000 + least(0.10, 0.02 * coalesce(n, 0)), 6) AS score FROM part LEFT JOIN d ON a = 'p' || p_partkey) SELECT * FROM r ORDER BY score DESC, p_partkey LIMIT 50""")
 def boosted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity plus the capped boost of a node's neighbours."""
-    d = degrees(undirected(edges(spark, sf_dir)))
+    return _boosted(spark, sf_dir, edges(spark, sf_dir))
+
+
+def _boosted(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
+    d = degrees(undirected(e))
     rows = table(spark, sf_dir, "part").withColumn("node", F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).join(d, "node", "left")
     return rows.select("p_partkey", F.round(F.col("p_retailprice") / 3000 + F.least(F.lit(0.10), 0.02 * F.coalesce("degree", F.lit(0))), 6).alias("score")).orderBy(F.desc("score"), "p_partkey").limit(50)
 
 
+@query()
+def full_node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every node, over every edge."""
+    return _degrees(edges(spark, sf_dir, every=True))
+
+
+@query()
+def full_graph_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edge ends by kind, over every edge."""
+    return _statistics(edges(spark, sf_dir, every=True))
+
+
+@query()
+def full_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies within two steps of each node whose number is divisible by 100."""
+    both = undirected(edges(spark, sf_dir, every=True))
+    seeds = both.where(F.substring("a", 2, 20).cast("long") % 100 == 0).select(F.col("a").alias("seed"), F.col("a").alias("node"))
+    return reach(both, seeds, 2)
+
+
+@query()
+def full_boosted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity plus the capped boost of a node's neighbours, over every edge."""
+    return _boosted(spark, sf_dir, edges(spark, sf_dir, every=True))
+
+
 @query("""WITH m AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '(?:[A-Z][a-z]{3,}) (?:is|was|and) (?:[a-z]{4,})'))) AS triple FROM documents) SELECT triple, count(*) AS n, min(doc_id) AS first_doc FROM m GROUP BY 1""")
 def relation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subject, verb and object patterns, with how many documents hold each."""

@@ -1,5 +1,7 @@
 """Queries on small tables that hold what the bundled ones lack."""
 
+from collections import defaultdict
+
 import pytest
 
 import __spark_entry__ as entry
@@ -24,3 +26,26 @@ def test_look_ahead_patterns_count(spark, messages):
     assert [r.action for r in sorted(run("governance_decisions"), key=lambda r: r.doc_id)] == ["block" if b else "allow" for b in bad]
     assert [(r.n, r.blocked) for r in run("governance_statistics")] == [(5, 2)]
     assert [r.escalate for r in sorted(run("escalations"), key=lambda r: r.doc_id)] == [b == 1 for b in bad]
+
+
+def test_full_graph(spark):
+    small = "/root/testdata/sf0.001"
+    edges = {(f"p{r.l_partkey}", f"s{r.l_suppkey}") for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    run = lambda name: entry.queries()[name](spark, small).collect()
+    assert {r.node: r.degree for r in run("full_node_degrees")} == {n: len(x) for n, x in near.items()}
+    assert {(r.kind, r.nodes, r.edge_ends) for r in run("full_graph_statistics")} == {(k, sum(n[0] == k for n in near), len(edges)) for k in "ps"}
+    want = {}
+    for seed in (n for n in near if int(n[1:]) % 100 == 0):
+        one = near[seed]
+        two = set().union(*(near[n] for n in one)) - one - {seed}
+        want |= {(seed, n): h for h, level in enumerate(({seed}, one, two)) for n in level}
+    assert want and {(r.seed, r.node): r.hops for r in run("full_two_hops")} == want
+    price = {r.p_partkey: r.p_retailprice for r in spark.read.parquet(f"{small}/part.parquet").collect()}
+    score = {k: round(p / 3000 + min(0.1, 0.02 * len(near.get(f"p{k}", ()))), 6) for k, p in price.items()}
+    best = sorted(score, key=lambda k: (-score[k], k))[:50]
+    got = run("full_boosted_products")
+    assert [r.p_partkey for r in got] == best and [r.score for r in got] == pytest.approx([score[k] for k in best])
