@@ -12,12 +12,27 @@ from lakeloom.plans.texts import any_sql
 
 @query("""SELECT doc_id, source, md5(string_agg(left(text, 200), chr(10)) OVER (PARTITION BY source ORDER BY doc_id RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING)) AS digest FROM documents""")
 def sibling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chunk with its neighbours in the source (ids at most 40 away), in order."""
+    """The first 200 characters of each chunk and its neighbours in the source (ids at most 40 away), in order."""
     w = Window.partitionBy("source").orderBy("doc_id").rangeBetween(-40, 40)
     near = F.collect_list(F.substring("text", 1, 200)).over(w)
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.array_join(near, "\n")).alias("digest"))
 
 
+@query()
+def whole_sibling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the digests of each whole chunk and its neighbours in the source (ids at most 40 away), in order.
+
+    A source is split into blocks of 1,000 ids, and the rows near a border are
+    also in the block beyond it.
+    """
+    block = lambda shift: F.floor((F.col("doc_id") + shift) / 1000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("h"))
+    dealt = docs.withColumn("block", F.explode(F.array_distinct(F.array(block(-40), block(0), block(40)))))
+    near = F.collect_list(F.when(F.col("h").isNotNull(), F.struct("doc_id", "h"))).over(Window.partitionBy("source", "block").orderBy("doc_id").rangeBetween(-40, 40))
+    own = dealt.select("doc_id", "source", "block", near.alias("near")).where(F.col("block").eqNullSafe(block(0)))
+    return own.select("doc_id", "source", F.md5(F.array_join(F.transform(F.sort_array("near"), lambda x: x["h"]), "\n")).alias("digest"))
+
+
 @query("""SELECT c.doc_id, p.doc_id AS parent_id, p.n_chars AS parent_chars FROM documents c JOIN documents p ON p.source = c.source AND p.doc_id = c.doc_id - c.doc_id % 40 WHERE c.n_chars < 400""")
 def parent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parent of every short chunk: same source, the parent's index."""

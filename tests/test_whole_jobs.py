@@ -1,5 +1,6 @@
 """Queries on small tables that hold what the bundled ones lack."""
 
+import hashlib
 from collections import defaultdict
 
 import pytest
@@ -49,3 +50,15 @@ def test_full_graph(spark):
     best = sorted(score, key=lambda k: (-score[k], k))[:50]
     got = run("full_boosted_products")
     assert [r.p_partkey for r in got] == best and [r.score for r in got] == pytest.approx([score[k] for k in best])
+
+
+def _md5(x):
+    return hashlib.md5(x.encode()).hexdigest()
+
+
+def test_whole_sibling_windows(spark, tmp_path):
+    rows = [(i, "ab"[i % 7 == 0], "x" * 300 + str(i)) for i in [*range(-60, 130), *range(930, 1090), 1990, 2010, 2049]]
+    rows += [(5, "b", "x" * 300 + "again")]  # a repeated id
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((i, s, _md5("\n".join(h for _, h in sorted((j, _md5(t)) for j, o, t in rows if o == s and abs(i - j) <= 40)))) for i, s, _ in rows)
+    assert sorted(map(tuple, entry.queries()["whole_sibling_windows"](spark, str(tmp_path)).collect())) == want
