@@ -104,9 +104,23 @@ def documents_sharing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS entity FROM documents), n AS (SELECT entity, count(*) AS n FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20)
 SELECT least(a.entity, b.entity) AS a, greatest(a.entity, b.entity) AS b, count(DISTINCT a.doc_id) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity WHERE a.entity IN (SELECT entity FROM n) AND b.entity IN (SELECT entity FROM n) GROUP BY 1, 2 HAVING count(DISTINCT a.doc_id) > 1""")
 def co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between rare names that several documents mention together."""
+    """Edges between rare names (2 to 20 documents) that several documents mention together."""
     mentions = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), 0))).alias("entity"))
     rare = mentions.groupBy("entity").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 20").select("entity")
     kept = mentions.join(rare, "entity")
     pairs = kept.select("doc_id", F.col("entity").alias("a")).join(kept.select("doc_id", F.col("entity").alias("b")), "doc_id").where("a < b")
     return pairs.groupBy("a", "b").agg(F.countDistinct("doc_id").alias("weight")).where("weight > 1")
+
+
+@query()
+def all_co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between all names that several documents mention together, however frequent.
+
+    Documents with the same names are counted first; a document's pairs come
+    from its own list, so that nothing is joined on a name.
+    """
+    names = F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), 0)))
+    classes = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(names.alias("names")).where("size(names) > 1").groupBy("names").agg(F.count("*").alias("n"))
+    first = classes.select("names", "n", F.posexplode("names").alias("i", "a"))
+    pairs = first.select("n", "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("weight")).where("weight > 1")

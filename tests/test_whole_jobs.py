@@ -1,7 +1,9 @@
 """Queries on small tables that hold what the bundled ones lack."""
 
 import hashlib
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -62,3 +64,12 @@ def test_whole_sibling_windows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = sorted((i, s, _md5("\n".join(h for _, h in sorted((j, _md5(t)) for j, o, t in rows if o == s and abs(i - j) <= 40)))) for i, s, _ in rows)
     assert sorted(map(tuple, entry.queries()["whole_sibling_windows"](spark, str(tmp_path)).collect())) == want
+
+
+def test_all_co_mentions(spark, tmp_path):
+    texts = ["Margaret met Jonathan and Catherine"] * 25 + ["Jonathan, Margaret, Jonathan", "Catherine and Benedict", "Benedict; Catherine", "Margaret", "no names", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = Counter(p for t in texts if t for p in combinations(sorted(set(re.findall("[A-Z][a-z]{6,}", t))), 2))
+    want = {(*p, n) for p, n in found.items() if n > 1}
+    assert ("Jonathan", "Margaret", 26) in want
+    assert {(r.a, r.b, r.weight) for r in entry.queries()["all_co_mentions"](spark, str(tmp_path)).collect()} == want
