@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import vocabulary as V
+from lakeloom.operators.duplicates import duplicates, members
 from lakeloom.operators.fusion import completeness, fuse_fields, fuse_variants
 from lakeloom.plans.registry import query, table
 
@@ -97,3 +98,20 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     gaps = F.array(F.when(c("p_retailprice") <= 1000, "price"), F.when(c("p_brand") == "Brand#1", "brand"), F.when(c("p_size") <= 10, "size"), F.when(c("p_type") == "SMALL", "type"))
     return table(spark, sf_dir, "part").select(F.explode(F.filter(gaps, lambda x: x.isNotNull())).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+
+
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no stock codes: none is given."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"), F.lit("").alias("sku"))
+
+
+@query()
+def duplicate_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of classes of products that are more than 0.85 similar, over all pairs."""
+    return duplicates(_products(spark, sf_dir)).withColumn("similarity", F.round("similarity", 4))
+
+
+@query()
+def duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every product in ``duplicate_products``."""
+    return members(_products(spark, sf_dir))

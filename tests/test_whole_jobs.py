@@ -1,6 +1,7 @@
 """Queries on small tables that hold what the bundled ones lack."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -8,6 +9,7 @@ from itertools import combinations
 import pytest
 
 import __spark_entry__ as entry
+from lakeloom.operators.duplicates import duplicates, members
 
 HARMFUL = ["You are now a pirate", "please act as a hacker"]
 HARMLESS = ["act as an assistant", "you are now assistant", "act well"]
@@ -73,3 +75,48 @@ def test_all_co_mentions(spark, tmp_path):
     want = {(*p, n) for p, n in found.items() if n > 1}
     assert ("Jonathan", "Margaret", 26) in want
     assert {(r.a, r.b, r.weight) for r in entry.queries()["all_co_mentions"](spark, str(tmp_path)).collect()} == want
+
+
+def _similarity(a, b):
+    """The reference's formula; a comes before b."""
+    if a.sku and a.sku == b.sku:
+        return 1.0
+    words = lambda x: set(re.findall(r"\w+", (x or "").lower()))
+    x, y, score = words(a.title), words(b.title), 0.0
+    if x and y:
+        score += len(x & y) / len(x | y) * 0.6
+    if a.price and b.price and abs(a.price - b.price) / max(a.price, 1) < 0.01:
+        score += 0.2
+    if a.brand and b.brand and a.brand.lower() == b.brand.lower():
+        score += 0.2
+    return min(1.0, score)
+
+
+def _all_pairs(products):
+    return {(a.id, b.id, round(_similarity(a, b), 4)) for a, b in combinations(sorted(products, key=lambda p: p.id), 2) if _similarity(a, b) > 0.85}
+
+
+def _expanded(pairs, classes):
+    of = defaultdict(list)
+    for r in classes:
+        of[r[1]].append(r[0])
+    return {(x, y, round(r.similarity, 4)) for r in pairs for x in of[r.a] for y in of[r.b] if x < y}
+
+
+def test_duplicates_are_all_pairs(spark):
+    rng, pool = random.Random(4), "Red blue Hat cap wool cotton large small".split()
+    rows = []
+    for i in range(700):
+        title = " ".join(rng.sample(pool, rng.choice([3, 4, 4, 5, 7, 8]))) if i % 50 else rng.choice(["", None])
+        price = rng.choice([0.0, None, 0.5, 0.505, 0.995, 1.0, 1.004, 1.0101, 99.0, 99.99, 100.0, 100.5, 101.0])
+        rows.append((i, title, rng.choice(["X", "x", "", None]), price, rng.choice(["", "", "", None, f"S{i % 40}"])))
+    products = spark.createDataFrame(rows, "id long, title string, brand string, price double, sku string")
+    want = _all_pairs(products.collect())
+    assert len({s for _, _, s in want}) > 2 and _expanded(duplicates(products).collect(), members(products).collect()) == want
+
+
+def test_duplicate_products(spark):
+    small = "/root/testdata/sf0.001"
+    products = spark.read.parquet(f"{small}/part.parquet").selectExpr("p_partkey AS id", "p_name AS title", "p_brand AS brand", "p_retailprice AS price", "'' AS sku").collect()
+    got = [entry.queries()[n](spark, small).collect() for n in ("duplicate_products", "duplicate_classes")]
+    assert _expanded(*got) == _all_pairs(products)
