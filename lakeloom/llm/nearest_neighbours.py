@@ -9,12 +9,15 @@ a few cells, in the order of their estimated success: the squared distances to
 the cell borders that would have to be crossed, summed.
 
 Equal vectors are one entry with its smallest ``k + 1`` ids, which is all that
-ties can ask for.  Buckets are dealt to tasks by hash; a bucket above
-``bucket_rows`` is dealt in several parts that a query all visits, so no row is
-left out.  A query goes to each task once, with the buckets it visits there;
-the task keeps its best entries, and the tables' candidates are merged and
-scored again, exactly, on the original vectors in double precision.  Queries
-that found fewer than ``k`` rows scan all entries, in blocks.
+ties can ask for.  Buckets are dealt to tasks by hash, to as many tasks as
+``task_rows`` asks for; a bucket above ``bucket_rows`` is dealt in several
+parts that a query all visits, so no row is left out.  Probes go in rounds,
+likeliest first: after a round each query knows the score of its ``k + 1``-th
+entry so far, and later rounds send on only entries that reach it, so what
+leaves the tasks depends on the queries and ``k``, not on the number of tasks.
+The candidates are scored again, exactly, on the original vectors in double
+precision.  Queries that found fewer than ``k`` rows go on to slices of all
+entries, in rounds of the same kind.
 
 Defined results: null vectors, and vectors that are zero or hold a null or
 non-finite number, or have another length than most, take no part; a query
@@ -31,22 +34,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialise, mix64
+from lakeloom.llm.common import bounded, materialise, mix64
 
 
 @dataclass(frozen=True)
 class Config:
-    """Tables, hash functions each, cell width, probes a table, and the most rows of a bucket's part."""
+    """Tables, hash functions each, cell width, probes a table by the end of each round, rows of a bucket's part and of a task."""
 
     tables: int = 4
     functions: int = 6
     cell: float = 2.0
-    probes: int = 60
+    probes: tuple[int, ...] = (4, 61)
     bucket_rows: int = 20_000
-    query_block: int = 2_000
+    task_rows: int = 50_000
     seed: int = 17
 
 
@@ -80,9 +84,9 @@ class _Hash:
         return np.stack([self._bucket(t, np.floor((unit @ self.a[t] + self.b[t]) / self.config.cell)) for t in range(self.config.tables)], axis=1)
 
     def probes(self, unit: np.ndarray) -> np.ndarray:
-        """(n, tables * probes): the buckets each query visits, likeliest first within a table."""
+        """(n, probes, tables): the buckets each query visits, its own and then the likeliest first."""
         out = []
-        n = min(self.config.probes + 1, len(self.moves))
+        n = min(self.config.probes[-1], len(self.moves))
         for t in range(self.config.tables):
             f = (unit @ self.a[t] + self.b[t]) / self.config.cell
             cell = np.floor(f)
@@ -90,7 +94,7 @@ class _Hash:
             costs = np.stack([down**2, (1 - down) ** 2], axis=2).reshape(len(unit), -1) @ self.uses.T
             best = np.argsort(costs, axis=1, kind="stable")[:, :n]
             out.append(self._bucket(t, cell[:, None, :] + self.moves[best]))
-        return np.concatenate(out, axis=1)
+        return np.stack(out, axis=2)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -113,6 +117,10 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 20, config: Config = Config(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product found for each query row."""
     spark = rows.sparkSession
@@ -127,73 +135,107 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, config: Config = Conf
     entries = materialise(entries.select(F.col("ids")[0].alias("entry"), "ids", "v"), "entries")
     asked = materialise(usable.where("asks").select(F.col("id").alias("query_id"), "v").join(entries.select("entry", "v"), "v").select("query_id", "entry"), "queries")
     queries = materialise(entries.select("entry", "v").join(asked.select("entry").distinct(), "entry"), "query-vectors")
-    largest = entries.agg(F.max(_dot(F.col("v"), F.col("v")))).first()[0] ** 0.5
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    largest, n_entries = entries.agg(F.max(_dot(F.col("v"), F.col("v"))), F.count("*")).first()
+    largest = largest**0.5
     hashing = spark.sparkContext.broadcast(_Hash(dim, config))  # its size depends on dim and the settings alone
 
     def hash_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim) / largest
             unit = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]], axis=1)
-            buckets = hashing.value.rows(unit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets.tolist(), pa.list_(pa.int64()))], names=["entry", "buckets"])
-
-    placed = materialise(entries.select("entry", "v").mapInArrow(hash_rows, "entry long, buckets array<long>").select("entry", F.explode("buckets").alias("bucket")), "buckets")
-    large = {r.bucket: r.n // config.bucket_rows + 1 for r in placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > config.bucket_rows).collect()}  # at most rows * tables / bucket_rows
-    sliced = F.create_map(*[F.lit(x) for pair in large.items() for x in pair]) if large else None
-    slice_of = F.pmod(F.xxhash64("entry"), F.coalesce(F.try_element_at(sliced, F.col("bucket")), F.lit(1))) if large else F.lit(0).cast("long")
-    task_of = lambda bucket, part: F.pmod(F.xxhash64(bucket, part), F.lit(n_parts)).cast("int")
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(hashing.value.rows(unit))], names=["entry", "buckets"])
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rounds = [0, *config.probes]
         for batch in batches:
             x = _matrix(batch.column(1), dim)
-            unit = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashing.value.probes(unit).tolist(), pa.list_(pa.int64()))], names=["entry", "buckets"])
+            buckets = hashing.value.probes(np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], axis=1))
+            for i, (a, b) in enumerate(itertools.pairwise(rounds)):
+                part = buckets[:, a:b].reshape(len(x), -1)
+                if part.shape[1]:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(x), i), pa.int32()), _lists(part)], names=["entry", "round", "buckets"])
+
+    placed = materialise(entries.select("entry", "v").mapInArrow(hash_rows, "entry long, buckets array<long>").select("entry", F.explode("buckets").alias("bucket")), "buckets")
+    large = materialise(placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > config.bucket_rows).select("bucket", F.floor(F.col("n") / config.bucket_rows + 1).alias("parts")), "large-buckets")
+    large = bounded(large)  # at most entries * tables / bucket_rows
+    visits = queries.mapInArrow(probe, "entry long, round int, buckets array<long>").select("entry", "round", F.explode(F.array_distinct("buckets")).alias("bucket"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    cell = lambda part: F.xxhash64("bucket", part).alias("cell")
+    placed = materialise(placed.join(large, "bucket", "left").select("entry", cell(F.pmod(F.xxhash64("entry"), parts))), "cells")
+    visits = materialise(visits.join(large, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("entry", "round", cell(F.col("part"))), "visits")
 
-    visits = queries.mapInArrow(probe, "entry long, buckets array<long>").select("entry", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.try_element_at(sliced, F.col("bucket")), F.lit(1)).cast("long") - 1)) if large else F.lit(0).cast("long")
-    visits = visits.select("entry", "bucket", parts.alias("part")).groupBy(task_of("bucket", "part").alias("task"), "entry").agg(F.collect_list(F.struct("bucket", "part")).alias("to"))  # at most tables * (probes + 1), times parts
-    data = placed.select("entry", "bucket", slice_of.cast("long").alias("part")).groupBy(task_of("bucket", "part").alias("task"), "entry").agg(F.collect_list(F.struct("bucket", "part")).alias("to"))
-    work = data.join(entries.select("entry", "v"), "entry").select("task", F.lit(0).alias("role"), "entry", "v", "to").unionByName(visits.join(queries, "entry").select("task", F.lit(1).alias("role"), "entry", "v", "to"))
+    found = spark.createDataFrame([], "query long, entry long, score double")
+    for i in range(len(config.probes)):
+        found = _round(placed, visits.where(F.col("round") == i).drop("round"), entries, queries, found, n_entries * config.tables, dim, k, config)
+    ids = entries.select("entry", "ids")
+    reached = found.join(ids.select("entry", F.size("ids").alias("n")), "entry").groupBy(F.col("query").alias("entry")).agg(F.sum("n").alias("n"))
+    short = materialise(queries.join(reached, "entry", "left").where(F.coalesce("n", F.lit(0)) < k + 1).select("entry"), "short-queries")
+    if not short.isEmpty():
+        slices, done, step = -(-n_entries // config.bucket_rows), 0, 1
+        sliced = entries.select("entry", F.pmod(F.xxhash64("entry"), F.lit(slices)).alias("cell"))
+        while done < slices:  # eight times as many slices a round
+            upto = min(slices, done + step)
+            found = _round(sliced, short.select("entry", F.explode(F.sequence(F.lit(done).cast("long"), F.lit(upto - 1).cast("long"))).alias("cell")), entries, queries, found, n_entries, dim, k, config)
+            done, step = upto, step * 8
+    exact = found.join(entries.select("entry", "ids", F.col("v").alias("w")), "entry").join(queries.select(F.col("entry").alias("query"), "v"), "query").select("query", F.explode("ids").alias("vec_id"), _dot(F.col("v"), F.col("w")).alias("score"))
+    pairs = asked.join(exact, F.col("entry") == F.col("query")).where("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def _round(placed: DataFrame, visits: DataFrame, entries: DataFrame, queries: DataFrame, found: DataFrame, n_placed: int, dim: int, k: int, config: Config) -> DataFrame:
+    """The best entries of each query among those ``found`` and those in the cells it visits.
+
+    ``placed`` (entry, cell) says where entries lie.  Cells are dealt to tasks;
+    a task gets each entry and each query once, with their cells there.
+    """
+    n_tasks = max(placed.sparkSession.sparkContext.defaultParallelism, -(-n_placed // config.task_rows))
+    task = F.pmod(F.xxhash64("cell"), F.lit(n_tasks)).cast("int").alias("task")
+    floor = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("place") == k + 1).select(F.col("query").alias("entry"), F.col("score").alias("floor"))
+    gather = lambda df: df.groupBy(task, "entry").agg(F.collect_set("cell").alias("to"))  # noqa: E731  at most the cells of one entry or query
+    data = gather(placed).join(entries.select("entry", "v"), "entry").withColumn("floor", F.lit(None).cast("double"))
+    asks = gather(visits).join(queries.join(floor, "entry", "left"), "entry")
+    work = data.select("task", F.lit(0).alias("role"), "entry", "v", "to", "floor").unionByName(asks.select("task", F.lit(1).alias("role"), "entry", "v", "to", "floor"))
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, members = [], [], {}
+        names, vectors, cells, owners, size = [], [], [], [], 0
         table = None
         for batch in batches:
-            role, entry, to = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(4).to_pylist()
-            x = _matrix(batch.column(3), dim)
+            n_data = int((batch.column(1).to_numpy() == 0).sum())  # entries come before queries
+            entry, x, to = batch.column(2).to_numpy(), _matrix(batch.column(3), dim), batch.column(4)
+            lens, flat = pc.list_value_length(to).to_numpy(), to.flatten().to_numpy()
+            ends = np.cumsum(lens)
+            if n_data:
+                names.append(entry[:n_data].copy())
+                vectors.append(x[:n_data])
+                cells.append(flat[: ends[n_data - 1]].copy())
+                owners.append(np.repeat(np.arange(n_data) + size, lens[:n_data]))
+                size += n_data
+            if n_data == len(entry):
+                continue
+            if table is None:
+                table = np.concatenate(vectors) if vectors else np.zeros((0, dim))
+                label = np.concatenate(names) if names else np.zeros(0, dtype=np.int64)
+                held = np.concatenate(cells) if cells else np.zeros(0, dtype=np.int64)
+                order = np.argsort(held, kind="stable")
+                held, owner = held[order], (np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64))[order]
+                vectors.clear()
+            left, right = np.searchsorted(held, flat, side="left"), np.searchsorted(held, flat, side="right")
+            floors = batch.column(5).to_numpy(zero_copy_only=False)
             out: list[tuple] = []
-            for i in range(len(role)):
-                if role[i] == 0:
-                    for t in to[i]:
-                        members.setdefault((t["bucket"], t["part"]), []).append(len(ids))
-                    ids.append(entry[i])
-                    vectors.append(x[i])
+            for i in range(n_data, len(entry)):
+                at = np.unique(np.concatenate([owner[left[j] : right[j]] for j in range(ends[i] - lens[i], ends[i])]))
+                if not len(at):
                     continue
-                if table is None:
-                    table, names = (np.stack(vectors) if vectors else np.zeros((0, dim))), np.array(ids, dtype=np.int64)
-                    held = {key: np.array(m, dtype=np.int64) for key, m in members.items()}
-                    visited = np.zeros(len(names), dtype=bool)
-                found = [held[key] for t in to[i] if (key := (t["bucket"], t["part"])) in held]
-                if found:
-                    visited[:] = False
-                    for m in found:
-                        visited[m] = True
-                    rows_ = np.flatnonzero(visited)
-                    near, scores = _best(names[rows_], table[rows_] @ x[i], k + 1)
-                    out.append((entry[i], near, scores))
+                scores = table[at] @ x[i]
+                if not np.isnan(floors[i]):
+                    near = scores >= floors[i] - 1e-9 * (1 + abs(floors[i]))
+                    at, scores = at[near], scores[near]
+                out.append((entry[i], *_best(label[at], scores, k + 1)))
             yield _pairs(out)
 
-    found = materialise(work.repartitionById(n_parts, F.col("task")).sortWithinPartitions("role").select("task", "role", "entry", "v", "to").mapInArrow(match, "query long, entry long, score double"), "candidates")
-    ids = entries.select("entry", "ids")
-    found = materialise(_ranked(found, k), "best")
-    reached = found.join(ids.select("entry", F.size("ids").alias("n")), "entry").groupBy(F.col("query").alias("entry")).agg(F.sum("n").alias("n"))
-    short = queries.join(reached, "entry", "left").where(F.coalesce("n", F.lit(0)) < k + 1).select("entry", "v")
-    found = found.unionByName(_scan(short, entries, dim, k, config))
-    exact = _ranked(found, k).join(entries.select("entry", "ids", F.col("v").alias("w")), "entry").join(queries.select(F.col("entry").alias("query"), "v"), "query").select("query", F.explode("ids").alias("vec_id"), _dot(F.col("v"), F.col("w")).alias("score"))
-    pairs = asked.join(exact, F.col("entry") == F.col("query")).where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    new = work.repartitionById(n_tasks, F.col("task")).sortWithinPartitions("role").select("task", "role", "entry", "v", "to", "floor").mapInArrow(match, "query long, entry long, score double")
+    return materialise(_ranked(found.unionByName(new), k), "best")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -208,25 +250,3 @@ def _pairs(out: list[tuple]) -> pa.RecordBatch:
     entry = np.concatenate([e for _, e, _ in out]) if out else np.zeros(0, dtype=np.int64)
     score = np.concatenate([s for _, _, s in out]) if out else np.zeros(0)
     return pa.RecordBatch.from_arrays([pa.array(query), pa.array(entry.astype(np.int64)), pa.array(score)], names=["query", "entry", "score"])
-
-
-def _scan(queries: DataFrame, entries: DataFrame, dim: int, k: int, config: Config) -> DataFrame:
-    """Exact candidates of the queries given: every block of them meets all entries where those lie."""
-    spark = queries.sparkSession
-    queries = materialise(queries, "short-queries")
-    found = spark.createDataFrame([], "query long, entry long, score double")
-    n_blocks = -(-queries.count() // config.query_block)
-    for b in range(n_blocks):
-        block = queries.where(F.pmod(F.xxhash64("entry"), F.lit(n_blocks)) == b).toPandas()  # about query_block rows
-        if block.empty:
-            continue
-        held = spark.sparkContext.broadcast((block["entry"].to_numpy(), np.stack(block["v"].to_list())))
-
-        def scan(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, q = held.value
-            for batch in batches:
-                entry, scores = batch.column(0).to_numpy(), q @ _matrix(batch.column(1), dim).T
-                yield _pairs([(names[i], *_best(entry, scores[i], k + 1)) for i in range(len(names))])
-
-        found = found.unionByName(entries.select("entry", "v").mapInArrow(scan, "query long, entry long, score double"))
-    return found
