@@ -46,35 +46,37 @@ class Piece:
     length: int
 
 
-def _fill(pieces: list[Piece], n_full: int, capacity: int, linear: float, quadratic: float, probes: int = 16) -> tuple[list[list[Piece]], list[Piece]]:
-    """Fill ``n_full`` sequences to the last token; return them and what is over."""
+def _fill(pieces: list[Piece], n_full: int, capacity: int, linear: float, quadratic: float) -> tuple[list[list[Piece]], list[Piece]]:
+    """Fill ``n_full`` sequences to the last token; return them and what is over.
+
+    ``ready`` holds sequences by cost; one that lacks room for the piece at hand
+    waits in ``parked``, by room, until a piece comes that it can take.
+    """
     sequences: list[list[Piece]] = [[] for _ in range(n_full)]
-    room = [capacity] * n_full
-    heap = [(0.0, i) for i in range(n_full)]
-    cost = lambda n: linear * n + quadratic * n * n
+    room, costs = [capacity] * n_full, [0.0] * n_full
+    ready, parked = [(0.0, i) for i in range(n_full)], []
     over: list[Piece] = []
     for piece in sorted(pieces, key=lambda p: -p.length):  # stable: ties keep the order of the input
-        while heap:
-            aside, found = [], None
-            while heap and len(aside) < probes:
-                c, i = heapq.heappop(heap)
-                if room[i] >= piece.length:
-                    found = (c, i)
-                    break
-                aside.append((c, i))
-            if found is None:
-                found = aside.pop(0)
-            for x in aside:
-                heapq.heappush(heap, x)
-            c, i = found
+        while piece.length and (ready or parked):
+            while parked and -parked[0][0] >= piece.length:
+                i = heapq.heappop(parked)[1]
+                heapq.heappush(ready, (costs[i], i))
+            while ready and room[ready[0][1]] < piece.length:
+                i = heapq.heappop(ready)[1]
+                heapq.heappush(parked, (-room[i], i))
+            if ready:
+                i = heapq.heappop(ready)[1]
+            else:  # it fits nowhere: cut to fill the cheapest, which is full then
+                i = min((costs[i], i) for _, i in parked)[1]
+                parked.remove((-room[i], i))
+                heapq.heapify(parked)
             n = min(piece.length, room[i])
             sequences[i].append(Piece(piece.doc, piece.start, n))
             room[i] -= n
+            costs[i] += linear * n + quadratic * n * n
             if room[i]:
-                heapq.heappush(heap, (c + cost(n), i))
+                heapq.heappush(ready, (costs[i], i))
             piece = Piece(piece.doc, piece.start + n, piece.length - n)
-            if not piece.length:
-                break
         if piece.length:
             over.append(piece)
     return sequences, over
@@ -101,8 +103,11 @@ def pack_block(pieces: list[Piece], capacity: int = 4096, linear: float = 1.0, q
     return sequences, rest
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096, block_sequences: int = 1024) -> DataFrame:
-    """One row per piece: where it comes from, where it lies, and the crc32 of its ids."""
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096, block_sequences: int = 1024, special_names: bool = True) -> DataFrame:
+    """One row per piece: where it comes from, where it lies, and the crc32 of its ids.
+
+    ``special_names``: the name of a special token in a text is its id, as plain ``tokenizers`` has it.
+    """
     path = tokenizer_path or default_tokenizer()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +141,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
 
         for batch in batches:
             names = batch.column(0)
-            for row, ids, bounds in encode_with_end(batch.column(1), path, end_id):
+            for row, ids, bounds in encode_with_end(batch.column(1), path, end_id, special_names):
                 for i in range(len(bounds) - 1):
                     held[seen] = (names[row + i].as_py(), ids[bounds[i] : bounds[i + 1]])
                     waiting.append(Piece(seen, 0, int(bounds[i + 1] - bounds[i])))

@@ -1,10 +1,15 @@
 """Token ids of Arrow text columns, through the public vocabulary files.
 
 The whole-word cache makes use of two facts of the vocabulary: white space
-separates words, and a run of punctuation that ends a word is a token group of
-its own.  So a text's ids are its words' ids, one after the other, and a word
-that was seen before costs a look-up.  The cache only saves time: its bound
-changes no result.
+separates words, and a run of punctuation that follows a Latin letter and ends
+a word is a token group of its own (not so after letters whose lower case or
+normal form ends in a mark, so words of other scripts are encoded whole).  So
+such a text's ids are its words' ids, one after the other, and a word that was
+seen before costs a look-up.  The cache only saves time: its bound changes no
+result.
+
+The name of a special token in a text is either its id, as plain ``tokenizers``
+has it (``special_names``; such texts are encoded whole), or ordinary text.
 """
 
 from __future__ import annotations
@@ -20,6 +25,9 @@ import pyarrow.compute as pc
 #: Words that a Python worker remembers.
 CACHE_WORDS = 250_000
 
+#: A Latin letter that stays one letter, the punctuation after it, and the word's end; U+0130 turns into a letter and a mark.
+_WORD_END = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,!?;:]+)(\s|$)"
+
 
 def default_tokenizer() -> str:
     """The path of the public word-level vocabulary."""
@@ -52,14 +60,15 @@ def _byte_letters(word: str) -> str | None:
 
 
 class WordTokenizer:
-    """Encodes string columns; one per Python worker and vocabulary file (see ``tokenizer``)."""
+    """Encodes string columns; one per Python worker, vocabulary file and ``special_names`` (see ``tokenizer``)."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, special_names: bool = False, cache_words: int = CACHE_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        self._tok.encode_special_tokens = not special_names
+        self._names = [t.content.lower() for t in self._tok.get_added_tokens_decoder().values()] if special_names else []
         self._merge = self._tok.model.tokenize
         self._cache: dict[str, bytes] = {}  # the ids as 32-bit numbers
         self._cache_words = cache_words
@@ -67,7 +76,19 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, bounds of each row); null is empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        x = pc.replace_substring_regex(texts, r"(\pL)([.,!?;:]+)(\s|$)", r"\1 \2\3")
+        named = np.zeros(len(texts), dtype=bool)
+        for name in self._names:
+            named |= pc.match_substring(texts, name, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not named.any():
+            return self._encode(texts)
+        ids, bounds = self._encode(pc.if_else(pa.array(named), "", texts))
+        rows = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i in np.flatnonzero(named):
+            rows[i] = np.array(self._tok.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        x = pc.replace_substring_regex(texts, _WORD_END, r"\1 \2\3")
         x = pc.replace_substring(pc.ascii_lower(x), "\n", " ")
         split = pc.split_pattern(x, " ")
         coded = split.flatten().dictionary_encode()
@@ -102,12 +123,12 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, special_names: bool = False) -> WordTokenizer:
     """The worker's tokenizer for a vocabulary file; it lives as long as the worker."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, special_names)
 
 
-def encode_with_end(texts: pa.Array, path: str, end_id: int, slice_chars: int = 1_500_000):
+def encode_with_end(texts: pa.Array, path: str, end_id: int, special_names: bool = False, slice_chars: int = 1_500_000):
     """Yield (first row, ids, bounds) for slices of a column; each row's ids end with ``end_id``.
 
     Slices hold about ``slice_chars`` bytes, so that a batch of very long texts stays small.
@@ -117,7 +138,7 @@ def encode_with_end(texts: pa.Array, path: str, end_id: int, slice_chars: int =
     while row < len(texts):
         base = lengths[row - 1] if row else 0
         upto = max(int(np.searchsorted(lengths, base + slice_chars, side="right")), row + 1)
-        ids, bounds = tokenizer(path).encode(texts.slice(row, upto - row))
+        ids, bounds = tokenizer(path, special_names).encode(texts.slice(row, upto - row))
         ids = np.insert(ids, bounds[1:], np.uint32(end_id))
         yield row, ids, bounds + np.arange(len(bounds))
         row = upto

@@ -3,8 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 
-from lakeloom.llm.packing import Piece, pack_block, pack_documents
-from lakeloom.llm.tokens import default_tokenizer
+from lakeloom.llm.packing import Piece, _fill, pack_block, pack_documents
+from lakeloom.llm.tokens import WordTokenizer, default_tokenizer
 
 
 def whole(sequences, lengths):
@@ -71,3 +71,52 @@ def test_documents_against_the_tokenizer(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_piece_goes_to_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        pieces = [Piece(i, 0, int(n)) for i, n in enumerate(rng.integers(1, 40, 120))]
+        n_full = sum(p.length for p in pieces) // 64
+        room, costs, want = [64] * n_full, [0.0] * n_full, [[] for _ in range(n_full)]
+        for p in sorted(pieces, key=lambda p: -p.length):
+            at, left = 0, p.length
+            while left and any(room):
+                fits = [i for i in range(n_full) if room[i] >= left] or [i for i in range(n_full) if room[i]]
+                i = min(fits, key=lambda i: (costs[i], i))
+                n = min(left, room[i])
+                want[i].append((p.doc, at, n))
+                room[i] -= n
+                costs[i] += n + n * n / 64
+                at, left = at + n, left - n
+        got, _ = _fill(pieces, n_full, 64, 1.0, 1 / 64)
+        assert [[(p.doc, p.start, p.length) for p in s] for s in got] == want
+
+
+def test_ids_are_those_of_plain_tokenizers():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(default_tokenizer()), WordTokenizer(default_tokenizer(), special_names=True)
+    parts = list("aKzéİŉǅßΣςıŁ\u0958\u095f\u0301\u0338中\u3000\u00a0 \n\t.,!?;:'\"12<|>😀") + ["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", " the", " don't", ", ", ". "]
+    pick = random.Random(7)
+    texts = ["hello <|endoftext|> world", "cİ,", "क़, ख़. ", "x" * 5000, "", None] + ["".join(pick.choices(parts, k=pick.randint(1, 12))) for _ in range(20_000)]
+    ids, bounds = own.encode(pa.array(texts, pa.string()))
+    assert ids[bounds[0] : bounds[1]].tolist() == [3306, 49407, 1002]
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_every_letter_before_punctuation():
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(default_tokenizer()), WordTokenizer(default_tokenizer(), special_names=True)
+    texts = [f"c{chr(c)}, d" for c in range(0x20, 0x3000) if unicodedata.category(chr(c))[0] == "L"]
+    ids, bounds = own.encode(pa.array(texts))
+    for i, e in enumerate(plain.encode_batch(texts, add_special_tokens=False)):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == e.ids, texts[i]
