@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The largest side that is broadcast: a count is taken first, and beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 48_000_000
 
 #: ASCII bytes that separate words: space, tab, newline, vertical tab, form feed, carriage return.
 SPACE_BYTES = np.zeros(256, dtype=bool)
@@ -26,11 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is ``spark.checkpoint.dir`` where the cluster names one; only where that
-    is unset (tests on one machine) a temporary folder is made and set.
+    is unset and the master is local a temporary folder is made and set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -41,15 +44,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakeloom/{name}-{uuid.uuid4().hex}"
 
 
+_PATHS: list[tuple[SparkSession, str]] = []
+
+
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage is cut."""
+    """Write ``df`` as a table in the shared folder and read it back: the lineage is cut.
+
+    The table lives until ``remove_tables`` is called or the program ends.
+    """
     path = scratch(df.sparkSession, name)
+    if not _PATHS:
+        atexit.register(remove_tables)
+    _PATHS.append((df.sparkSession, path))
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count proves that it has few rows, else ``df``."""
+def remove_tables() -> None:
+    """Delete the tables that ``materialise`` wrote in this program; what is read from them ends with them."""
+    while _PATHS:
+        spark, path = _PATHS.pop()
+        with contextlib.suppress(Exception):  # the session may have ended; its folder is left then
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (numbers and short names) with a broadcast hint if a count proves it small, else ``df``.
+
+    A column counts as 16 bytes and a row as 16 more, a text column as 64.
+    """
+    rows = max_bytes // (16 + sum(64 if f.dataType.typeName() == "string" else 16 for f in df.schema.fields))
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

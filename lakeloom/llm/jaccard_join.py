@@ -227,6 +227,21 @@ def _open_groups(percent: int):
     return run
 
 
+def join_few(rows: DataFrame, few: DataFrame, on: list[str], copies: int) -> DataFrame:
+    """Left join of ``rows`` with ``few``, which has one row for each key that is in more than ``copies`` of them.
+
+    ``few`` is broadcast if a count proves it small; otherwise both sides are
+    salted ``copies`` ways, so ``few`` grows to at most as many rows as ``rows``
+    has and no key stays whole.
+    """
+    few = materialise(few, "few")
+    hinted = bounded(few)
+    if hinted is not few:
+        return rows.join(hinted, on, "left")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(copies))
+    return rows.withColumn("salt", salt).join(few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))), [*on, "salt"], "left").drop("salt")
+
+
 def jaccard_components(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of (doc_id, text)."""
     profiles = materialise(shingle_profiles(docs, frequency_levels(docs, config), config), "profiles")
@@ -234,10 +249,10 @@ def jaccard_components(docs: DataFrame, config: Config = Config()) -> DataFrame:
     sign = ["n", "sig_a", "sig_b"]
     classes = materialise(some.groupBy(*sign).agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "classes")
     reps = profiles.join(classes.withColumnRenamed("rep", "doc_id"), [*sign, "doc_id"]).dropDuplicates(["doc_id", *sign])
-    groups = reps.groupBy("key").agg(F.count("*").alias("in_key"))
-    split = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("in_key") / config.group_size))
+    large = reps.groupBy("key").agg(F.count("*").alias("in_key")).where(F.col("in_key") > config.group_size)  # other keys are one group
+    split = F.pmod(F.xxhash64("doc_id"), F.ceil(F.coalesce("in_key", F.lit(1)) / config.group_size))
     asked = F.lit(1) + F.least(F.floor(F.floor((config.percent * F.col("n") + 99) / 100) / 20), F.lit(7))
-    reps = materialise(reps.join(groups, "key").select("doc_id", "n", "copies", "prefix", F.xxhash64("key", split).alias("grp"), asked.alias("asked")), "representatives")
+    reps = materialise(join_few(reps, large, ["key"], config.group_size).select("doc_id", "n", "copies", "prefix", F.xxhash64("key", split).alias("grp"), asked.alias("asked")), "representatives")
 
     # The token-group matrix and the queries to it are dealt by token once, and both sides share that exchange.
     rows = reps.select("doc_id", "grp", "asked", F.explode("prefix").alias("token")).repartition("token")
@@ -256,8 +271,12 @@ def jaccard_components(docs: DataFrame, config: Config = Config()) -> DataFrame:
 
     roots = connected_components(opened.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
     links = opened.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    named = classes.join(roots, "rep", "left").join(links, "rep", "left").select(*sign, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = some.select("doc_id", *sign).join(named, sign).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
+    named = classes.join(roots, "rep", "left").join(links, "rep", "left").select(*sign, "copies", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = materialise(named, "named")
+    many, few = named.where(F.col("copies") > config.group_size).drop("copies"), named.where(F.col("copies") <= config.group_size).drop("copies")
+    told = materialise(join_few(some.select("doc_id", *sign), many, sign, config.group_size), "told")  # large classes first, then no key is hot
+    linked = told.where("component IS NOT NULL").unionByName(told.where("component IS NULL").select("doc_id", *sign).join(few, sign))
+    linked = linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
     alone = profiles.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 

@@ -124,16 +124,17 @@ def judge(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> Data
 def keep_passing(docs: DataFrame, rules: Rules = Rules(), host: str = "source") -> DataFrame:
     """The rows of ``docs`` that judge() keeps, with their columns.
 
-    Host rates come from a slim table; the texts are counted once more where
-    they lie instead of being shuffled to meet their counts.
+    The rows that can be kept at all are written once with their failures;
+    texts are counted once and never shuffled to meet their counts.
     """
-    judged = materialise(apply_rules(document_counts(docs, host), rules), "rule-counts")
-    verdicts = bounded(host_rates(judged).where(F.col("rate") >= rules.doubt_rate).select(F.col("host").alias("_host_name"), F.col("rate").alias("_rate")))
-    own = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    counted = apply_rules(document_counts(docs.select(own, F.col("doc_id").alias("doc_id"), F.col(host).alias(host), F.col("text").cast("string").alias("text")), host, "_row"), rules)
-    judged_rows = counted.join(verdicts, F.col("host").eqNullSafe(F.col("_host_name")), "left")
-    rate = F.coalesce("_rate", F.lit(0.0))
-    return judged_rows.where(~F.col("base_failed") & ~F.col("symbol_failed") & (rate < rules.reject_rate) & ~((rate >= rules.doubt_rate) & F.col("failed"))).select("_row.*")
+    shaped = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col(host).alias("source"), F.col("text").cast("string").alias("text"))
+    judged = apply_rules(document_counts(shaped, "source", "row"), rules)
+    out = F.col("base_failed") | F.col("symbol_failed")
+    judged = materialise(judged.select("host", "failed", out.alias("out"), F.when(~out, F.col("row")).alias("row")), "rule-rows")
+    verdicts = bounded(host_rates(judged).where(F.col("rate") >= rules.doubt_rate).select(F.col("host").alias("host_name"), "rate"))
+    joined = judged.where("NOT out").join(verdicts, F.col("host").eqNullSafe(F.col("host_name")), "left")
+    rate = F.coalesce("rate", F.lit(0.0))
+    return joined.where((rate < rules.reject_rate) & ~((rate >= rules.doubt_rate) & F.col("failed"))).select("row.*")
 
 
 #: DuckDB SQL that gives the rows of judge() with the rules' default thresholds.

@@ -15,7 +15,9 @@ A word pair that repeats its word is hashed as one shape, so repetition is a
 feature whatever the word.  Defined results: a null or empty text has no
 features and gets the classes' prior; a null id is scored and stays null;
 repeated rows are scored alike; rows with a null label aren't learned from; if
-only one class (or none) is labelled, every document gets the prior.
+only one class (or none) is labelled, every document gets the prior; an empty
+table gives no rows; other columns, whatever their names, are not read, and
+``keep_scored`` passes them on.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import _BASE, _BYTE_CODES, labelled_sample, map_texts, mix64, span_hashes, string_bytes, word_spans
+from lakeloom.llm.common import _BASE, _BYTE_CODES, labelled_sample, map_texts, mix64, small_batches, span_hashes, string_bytes, tidy, word_spans
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ class Config:
     rate: float = 0.4
     max_rows: int = 4000
     seed: int = 7
-    slice_bytes: int = 750_000
+    slice_bytes: int = 400_000
 
 
 @dataclass
@@ -159,31 +161,41 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Mode
     return Model(classes, prior, vectors, output)
 
 
-def with_scores(docs: DataFrame, model: Model, config: Config = Config(), positive: object = 1, name: str = "score") -> DataFrame:
-    """``docs`` with the probability of class ``positive`` as one more column."""
-    table = docs.sparkSession.sparkContext.broadcast(model.table())
+def scorer(spark: SparkSession, model: Model, config: Config = Config(), positive: object = 1):
+    """An Arrow function from texts to the probability of class ``positive``; other columns stay in the JVM."""
+    table = spark.sparkContext.broadcast(model.table())
     known = positive in model.classes
     k = model.classes.index(positive) if known else 0
     base = float(model.prior[k]) if known else (0.5 if not model.classes else 0.0)
     learned = known and len(model.classes) > 1
-    at = docs.columns.index("text")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.full(batch.num_rows, base)
-            for row, part in text_slices(batch.column(at), config.slice_bytes) if learned else ():
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            scores = np.full(len(texts), base)
+            for row, part in text_slices(texts, config.slice_bytes) if learned else ():
                 bucket, doc = features(part, config)
                 n = np.bincount(doc, minlength=len(part))
                 logits = np.stack([np.bincount(doc, weights=t[bucket], minlength=len(part)) for t in np.ascontiguousarray(table.value.T)], axis=1)[n > 0] / n[n > 0, None]
                 e = np.exp(logits - logits.max(axis=1, keepdims=True))
                 scores[row : row + len(part)][n > 0] = e[:, k] / e.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
+            yield pa.array(scores)
+
+    small_batches(spark)
+    tidied = tidy(run)
 
-    from pyspark.sql.types import DoubleType, StructType
+    @F.arrow_udf("double")
+    def score_texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(columns)
 
-    return map_texts(docs, run, StructType([*docs.schema.fields]).add(name, DoubleType()))
+    return score_texts
 
 
 def score(docs: DataFrame, model: Model, config: Config = Config(), positive: object = 1) -> DataFrame:
     """(doc_id, score) of every row of (doc_id, text)."""
-    return with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, config, positive).select("doc_id", "score")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs.sparkSession, model, config, positive)(F.col("text").cast("string")).alias("score"))
+
+
+def keep_scored(docs: DataFrame, model: Model, least: float = 0.5, config: Config = Config(), positive: object = 1) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``, with their columns."""
+    scored = docs.select(F.struct("*").alias("row"), scorer(docs.sparkSession, model, config, positive)(F.col("text").cast("string")).alias("score"))
+    return scored.where(F.col("score") >= least).select("row.*")

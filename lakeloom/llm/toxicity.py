@@ -4,16 +4,20 @@ Text is folded first: lower case, look-alike letters of other scripts and
 accents to their plain letter, digits and signs that stand for letters to that
 letter (``fold_text``), everything else to single spaces.  The lexicon is
 learned from a bounded sample of labelled rows (``max_rows``; copies and near
-copies count once): whole words and word beginnings that toxic texts have and
-clean ones lack, far beyond chance, with their log odds as weights.  Scoring
-runs one automaton over each whole text, skips matches inside exception
-phrases, adds the weights up, divides by a slowly growing function of the
-text's length, and maps the result to 0..1 with a fitted logistic curve.
+copies of one label, by 5-word shingles, count once): whole words and word
+beginnings that toxic texts have and clean ones lack, far beyond chance, with
+their log odds as weights.  Exception phrases are a short fixed list, and the
+pairs of words, one of them in the lexicon, that clean texts have and no toxic
+one has, beyond chance too.  Scoring runs one automaton over each whole text,
+skips matches inside exception phrases, adds the weights up, divides by a slowly
+growing function of the text's length, and maps the result to 0..1 with a
+fitted logistic curve.
 
 Defined results: a null or empty text has no match and scores as a clean one;
 a null id is scored and stays null; repeated rows are scored alike; rows with a
 null label aren't learned from; without any toxic label the lexicon is empty
-and every score is low.
+and every score is low; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import labelled_sample, map_texts, materialise, shingle_hashes
+from lakeloom.llm.common import labelled_sample, map_texts, materialise
+from lakeloom.llm.jaccard_join import Config as JoinConfig
+from lakeloom.llm.jaccard_join import jaccard_components
 
 #: Letters of other scripts, digits and signs, with the letter each stands for.
 LOOKALIKES = {
@@ -69,10 +75,9 @@ def fold_text(text: str) -> str:
 
 @dataclass(frozen=True)
 class Config:
-    """Bounds and thresholds; ``max_rows`` bounds the labelled sample, ``max_terms`` the lexicon."""
+    """Bounds and thresholds; ``max_rows`` bounds the labelled sample, and with it the lexicon."""
 
     max_rows: int = 20_000
-    max_terms: int = 5_000
     stem: tuple[int, int] = (4, 7)
     purity: float = 0.8
     chance: float = 1e-2
@@ -105,10 +110,10 @@ def matcher(lexicon: Lexicon):
     if not lexicon.weights:
         return None
     found = ahocorasick.Automaton()
-    for p in lexicon.exceptions:
-        found.add_word(fold_text(p), (len(fold_text(p)), None))
     for p, w in lexicon.weights.items():
         found.add_word(p, (len(p), w))
+    for p in lexicon.exceptions:
+        found.add_word(fold_text(p), (len(fold_text(p)), None))
     found.make_automaton()
     return found
 
@@ -129,21 +134,47 @@ def weigh(text: str, automaton) -> float:
     return sum(words.values()) / (1 + math.log1p(folded.count(" ") / 100) / 4) if words else 0.0
 
 
+def _pairs_of_words(text: str, automaton) -> set[str]:
+    """The pairs of neighbouring words in a text of which one is matched."""
+    folded = fold_text(text)
+    words = folded.split()
+    starts, at = {}, 1
+    for i, w in enumerate(words):
+        starts[at - 1] = i  # a pattern begins with the space before its word
+        at += len(w) + 1
+    hit = {starts[end - n + 1] for end, (n, _) in automaton.iter(folded)}
+    return {" ".join(words[i : i + 2]) for h in hit for i in (h - 1, h) if 0 <= i < len(words) - 1}
+
+
 def _scores(texts: Iterable[str | None], automaton) -> np.ndarray:
     return np.array([weigh(t, automaton) if automaton is not None and t else 0.0 for t in texts], dtype=np.float64)
 
 
-def learn(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Lexicon:
-    """A lexicon from (doc_id, text) and (doc_id, label), label 1 for toxic."""
+def _learned_exceptions(sample: DataFrame, lexicon: Lexicon, config: Config) -> tuple[str, ...]:
+    """Pairs of words with a matched one that clean texts have and no toxic one has, beyond chance.
+
+    A match is toxic with probability ``purity`` or more, so n clean texts and
+    no toxic one have a chance of (1 - purity) ** n at most, for each pair.
+    """
 
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = matcher(Lexicon(lexicon.weights, exceptions=()))
         for batch in batches:
-            hashes, edges = shingle_hashes(batch.column(0), 5)
-            key = [int(hashes[a]) - (1 << 63) if b > a else 0 for a, b in zip(edges[:-1], edges[1:], strict=True)]  # sorted: the first is the smallest
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64())], names=["text", "label", "key"])
+            rows = [(p, label) for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in sorted(_pairs_of_words(text or "", automaton))]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.int32())], names=["pair", "label"])
+
+    pairs = sample.mapInArrow(counted, "pair string, label int").groupBy("pair").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") != 1).alias("clean"))
+    pairs = materialise(pairs, "toxic-pairs")
+    least = math.log(max(pairs.count(), 1) / config.chance) / -math.log(1 - config.purity)
+    return tuple(sorted(r.pair for r in pairs.where((F.col("toxic") == 0) & (F.col("clean") >= least)).collect()))
 
-    sample = labelled_sample(docs, labels, config.max_rows, config.seed).select("text", F.col("label").cast("int").alias("label"))
-    sample = materialise(sample.mapInArrow(keyed, "text string, label int, key long").groupBy("key", "label").agg(F.max("text").alias("text")), "toxic-sample")
+
+def learn(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Lexicon:
+    """A lexicon from (doc_id, text) and (doc_id, label), label 1 for toxic."""
+    sample = materialise(labelled_sample(docs, labels, config.max_rows, config.seed).select("doc_id", "text", F.col("label").cast("int").alias("label")), "toxic-labelled")
+    classes = jaccard_components(sample, JoinConfig(width=5, percent=80, sketch_bits=18)).select("doc_id", "component_id").distinct()
+    sample = sample.join(F.broadcast(classes), "doc_id").groupBy("component_id", "label").agg(F.max("text").alias("text"))  # at most max_rows rows
+    sample = materialise(sample.select("text", "label"), "toxic-sample")
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic:
@@ -165,12 +196,13 @@ def learn(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Lexi
     divergence = F.col("toxic") * F.log(likely / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - likely) / (1 - share))).otherwise(0.0)
     n_terms = counts.count()
     limit = math.log(max(n_terms, 1) / config.chance)
-    rows = counts.where((likely >= config.purity) & (divergence > limit)).orderBy(F.desc("toxic"), "term").limit(config.max_terms).collect()
+    rows = counts.where((likely >= config.purity) & (divergence > limit)).collect()  # of at most max_rows texts
     weights: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r.term), r.term)):  # a longer pattern adds nothing to its own beginning
         if not any(r.term[:n] in weights for n in range(2, len(r.term))):
             weights[r.term] = math.log((r.toxic + 0.5) / (toxic + 1)) - math.log((r.clean + 0.5) / (clean + 1))
     lexicon = Lexicon(weights)
+    lexicon.exceptions += _learned_exceptions(sample, lexicon, config) if weights else ()
 
     def weighed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = matcher(lexicon)
@@ -195,7 +227,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Lexi
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, score, weight): every row's probability, and its normalised sum of weights."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most max_terms patterns
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # terms of at most max_rows texts
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = matcher(shared.value)

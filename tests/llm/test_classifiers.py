@@ -68,6 +68,96 @@ def test_toxic_edges(spark):
     assert not empty.weights and toxicity.score(docs, empty).count() == 5
 
 
+def test_weights_against_brute_force():
+    """The automaton's sum against a scan of every word and phrase."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    lexicon = toxicity.Lexicon({" stup": 4.0, " stupid ": 5.0, " moron ": 3.0, " trash ": 2.0, " ioser ": 6.0})
+    automaton = toxicity.matcher(lexicon)
+    phrases = [toxicity.fold_text(p).split() for p in lexicon.exceptions]
+    vocab = ["stupid", "5tup1d", "stupor", "st", "moron", "morons", "tr@sh", "can", "bin", "L0SER", "fine", "é", "clown", "fish", "trash-can", "", "x" * 300]
+    for _ in range(500):
+        text = " ".join(rng.choices(vocab, k=rng.randint(0, 400)))
+        words = toxicity.fold_text(text).split()
+        safe = {i + k for p in phrases for i in range(len(words)) if words[i : i + len(p)] == p for k in range(len(p))}
+        total = 0.0
+        for i, w in enumerate(words):
+            total += 0 if i in safe else max([v for p, v in lexicon.weights.items() if (w == p.strip() if p.endswith(" ") else w.startswith(p[1:]))], default=0.0)
+        spaces = toxicity.fold_text(text).count(" ")
+        assert abs(toxicity.weigh(text, automaton) - total / (1 + math.log1p(spaces / 100) / 4)) < 1e-9
+
+
+def test_learned_lexicon(spark):
+    """Texts that share a passage keep their labels, near copies count once, and clean phrases become exceptions."""
+    shared = "this same opening passage begins every single one of the texts"
+    rows = [(i, f"{shared} and then a {'stupid' if i % 2 else 'gentle'} thing number{i} happens to person{i} near river{i} on day{i} with tool{i}", i % 2) for i in range(80)]
+    rows += [(100 + i, "one copied toxic text with the word parrot in it " * 6, 1) for i in range(30)]
+    rows += [(200 + i, f"a stupid error message{i} in file{i} of job{i}", 0) for i in range(8)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    lexicon = toxicity.learn(known.drop("label"), known)
+    assert any("stup" in k for k in lexicon.weights) and not any("parr" in k for k in lexicon.weights)
+    assert "stupid error" in lexicon.exceptions and "stupid thing" not in lexicon.exceptions
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(1, "a stupid error"), (2, "a stupid thing")], "doc_id long, text string"), lexicon).collect()}
+    assert got[1] < 0.5 < got[2]
+
+
+def brute_features(text, config):
+    """The hashed features of one text, word by word, as a sorted list of names."""
+    import re
+
+    out = []
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    for a, b in zip(words, words[1:], strict=False):
+        out.append(("pair", "same") if a == b else ("pair", a, b))
+    for w in words:
+        out.append(("word", w))
+        marked = [-1, *w, -2]
+        for n in config.sizes:
+            out += [("gram", *[-1 if x == -2 else x for x in marked[i : i + n]]) for i in range(len(marked) - n + 1)]
+    return out
+
+
+def test_quality_against_brute_force(spark):
+    """Features by name, and scores by the definition: softmax of the mean vector times the output layer."""
+    import numpy as np
+    import pyarrow as pa
+
+    config = subword_classifier.Config(buckets=1 << 26, sizes=(3, 4), epochs=2)
+    small = subword_classifier.Config(buckets=1 << 12, epochs=2)
+    texts = ["the cat sat on the mat", "a a a b", "Ünïcode wörds", "x", "", None, "tab\tsep\x0bvt\nline", "end of the cat " * 50]
+    bucket, doc = subword_classifier.features(pa.array(texts), config)
+    ids = {}
+    for d, t in enumerate(texts):
+        want = brute_features(t or "", config)
+        got = bucket[doc == d].tolist()
+        assert len(got) == len(want)
+        # One name has one bucket and the other way round: equal multisets of counts, joined over all texts.
+        for name in want:
+            ids.setdefault(name, set())
+        counts = {}
+        for b in got:
+            counts[b] = counts.get(b, 0) + 1
+        names = {}
+        for n in want:
+            names[n] = names.get(n, 0) + 1
+        assert sorted(counts.values()) == sorted(names.values())
+    assert len(set(bucket.tolist())) == len(ids)
+    rows = [(i, ("good text here " if i % 2 else "### bad %%% ") * (1 + i % 4) + f"w{i}", i % 2) for i in range(40)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = subword_classifier.train(known.drop("label"), known, small)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in subword_classifier.score(docs, model, small).collect()}
+    for d, t in enumerate(texts):
+        b, _ = subword_classifier.features(pa.array([t or ""]), small)
+        if not len(b):
+            assert got[d] == model.prior[1]
+            continue
+        z = model.vectors[b].astype(np.float64).mean(axis=0) @ model.output.astype(np.float64)
+        assert abs(got[d] - np.exp(z[1]) / np.exp(z).sum()) < 1e-5
+
+
 def test_folds(spark):
     import zlib
 

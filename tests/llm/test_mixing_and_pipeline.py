@@ -1,3 +1,5 @@
+import contextlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,16 +11,19 @@ from lakeloom.llm.queries import op7_soft_mixing
 from lakeloom.llm.stages import TARGETS, dedup_stage
 
 SF = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
 
 
-def brute_rates(tokens, posterior, want, steps):
-    total = tokens.sum()
-    gram = (tokens[:, None, None] * posterior[:, :, None] * posterior[:, None, :]).sum(axis=0)
-    inverse, r = np.linalg.pinv(gram, rcond=1e-10, hermitian=True), np.ones(len(tokens))
-    for _ in range(steps):
-        miss = want * total - (r * tokens) @ posterior
-        r = np.maximum(0, r + posterior @ (inverse @ miss))
-    return r
+def brute_value(tokens, posterior, want):
+    """The least objective, by cyclic coordinate descent over the rates, and the objective."""
+    metric = np.linalg.pinv((tokens[:, None, None] * posterior[:, :, None] * posterior[:, None, :]).sum(axis=0), rcond=1e-10, hermitian=True)
+    value = lambda x: (m := want * tokens.sum() - (x * tokens) @ posterior) @ metric @ m
+    x = np.zeros(len(tokens))
+    for _ in range(3000):
+        for i in np.flatnonzero(tokens):
+            a = tokens[i] * posterior[i]
+            x[i] = max(0.0, x[i] + a @ metric @ (want * tokens.sum() - (x * tokens) @ posterior) / (a @ metric @ a))
+    return value(x), value
 
 
 def test_rates_reach_the_targets(spark):
@@ -29,20 +34,45 @@ def test_rates_reach_the_targets(spark):
     want = np.array([TARGETS[d] for d in names])
     assert np.allclose(p.sum(axis=1), 1) and (r >= 0).all()
     assert np.allclose((r * n) @ p / n.sum(), want / want.sum(), atol=1e-4)
-    assert np.allclose(r, brute_rates(n, p, want / want.sum(), 39), atol=1e-3)
     lang = rows.merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     best = np.array(names)[p.argmax(axis=1)]
     assert (best == lang.lang)[best != "junk"].mean() > 0.9
 
 
-def test_projection_against_brute_force(spark):
-    rng = np.random.default_rng(0)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 60)
-    n = rng.integers(0, 100, 60)
-    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_tokens long, _posterior array<double>")
-    rates = mixing.fit_rates(members, ["a", "b", "c"], {"a": 0.9, "b": 0.1})
-    got = np.array([r[0] for r in members.select(mixing.rate_of(F.col("_posterior"), rates)).collect()])
-    assert (got == 0).any() and np.allclose(got, brute_rates(n.astype(float), p, np.array([0.9, 0.1, 0]), len(rates.steps)), atol=1e-6)
+def test_optimum_against_coordinate_descent(spark):
+    """The objective reached against that of another solver of nonnegative least squares."""
+    for seed, want in enumerate([(0.5, 0.3, 0.2), (0.3, 0.3, 0.4), (0.9, 0.1, 0.0)]):
+        rng = np.random.default_rng(seed)
+        p, n = rng.dirichlet([0.4, 0.4, 0.4], 40), rng.integers(0, 50, 40).astype(float)
+        members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "tokens long, posterior array<double>")
+        far = want[0] > 0.8  # a target that few documents can reach: the solver says that it stops before its optimum
+        with pytest.warns(UserWarning) if far else contextlib.nullcontext():
+            rates = mixing.fit_rates(members, ["a", "b", "c"], dict(zip("abc", want, strict=True)))
+        r = np.array([x[0] for x in members.select(mixing.rate_of(F.col("posterior"), rates)).collect()])
+        best, value = brute_value(n, p, np.array(want))
+        assert (r >= 0).all() and rates.converged != far
+        assert best - 1e-6 <= value(r) <= best + (0.02 if far else 1e-4) * value(np.ones(40)), (value(r), best)
+
+
+def test_clashing_columns_pass_every_stage(spark):
+    names = ["row", "score", "_score", "tokens", "_tokens", "posterior", "_used", "used", "weights", "told", "other", "place", "id", "copies", "host", "host_name", "rate", "failed", "out", "words", "lines", "n_words", "a b", "x.y"]
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("*", *[F.lit(7 + i).alias(c) for i, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, SMALL), f"clash-{name}")
+        assert docs.columns[-len(names) :] == names
+        got = docs.select(*[F.collect_set(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)]).first()
+        assert [list(x) for x in got] == [[7 + i] for i in range(len(names))], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() > 0
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stage_edges(spark, stage):
+    source = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, "word " * 60_000, None, "s", 3), (-3, "same text here", "en", None, 1), (-3, "same text here", "en", None, 1)], source.schema)
+    docs = corpus_pipeline.materialise(source.limit(100).unionByName(odd), "odd")
+    assert stage(spark, docs, SMALL).count() > 0
+    assert stage(spark, docs.limit(0), SMALL).count() == 0
+    assert stage(spark, odd, SMALL).count() >= 0
 
 
 def test_mixing_edges(spark):
@@ -69,9 +99,6 @@ def test_dedup_stage(spark):
     assert sorted((r.doc_id or 0) for r in dedup_stage(spark, docs, SF).collect()) == [0, 2, 9, 11]
 
 
-SMALL = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="module")
 def run(spark):
     docs, seen = spark.read.parquet(f"{SMALL}/documents.parquet"), []
