@@ -78,11 +78,14 @@ SIZES = "xs|s|m|l|xl|xxl|xxxl|small|medium|large|extra large"
 COLORS = "black|white|red|blue|green|yellow|grey|gray|navy|pink|purple|orange|brown"
 ATTRIBUTES = ("availability", "care", "color", "colour", "cost", "delivery", "dimension", "fabric", "feature", "material", "price", "return", "shipping", "size", "specification", "stock", "warranty", "wash", "weight")
 CATEGORIES = ("shirt", "tshirt", "t-shirt", "hoodie", "sweatshirt", "pant", "trouser", "shorts", "jacket", "coat", "dress", "saree", "kurta", "panjabi", "shoe", "sneaker", "sandal", "bag", "backpack", "wallet", "cap", "hat", "sock", "underwear", "bra", "legging", "jogger", "polo", "vest")
+BRANDS = ("adidas", "nike", "puma", "reebok", "h&m", "zara", "uniqlo", "levis", "wrangler", "gap")
+PLACES = ("dhaka", "chittagong", "ctg", "sylhet", "khulna", "rajshahi", "gulshan", "dhanmondi", "mirpur", "bashundhara", "uttara", "motijheel", "narayanganj", "gazipur", "wari", "old dhaka")
 SKU = r"\b([A-Z]{2,6}\d{4,12}(?:-[A-Z0-9]+)?)\b"
 PRONOUN_ONLY = r"^(it|this|that|these|those|the product|this product|the item|that item)\s*\??$"
 TOO_SHORT = r"^\s*\w{1,3}\s*\??$"
 MULTI_MEANING = {"polo": "polo shirt", "fit": "fit size", "free": "free shipping"}
 TYPOS = {
+    "shiping": "shipping", "shpping": "shipping", "delivry": "delivery",
     "deliveri": "delivery", "returnn": "return", "refundd": "refund", "availble": "available", "availabel": "available", "avaliable": "available", "prodcut": "product", "prodect": "product", "materail": "material",
     "materiel": "material", "colur": "color", "colour": "color", "sizee": "size", "prise": "price", "prce": "price", "waranty": "warranty", "warrenty": "warranty", "guarentee": "guarantee", "guarntee": "guarantee",
     "discont": "discount", "discound": "discount", "exchagne": "exchange", "exchnage": "exchange", "polcy": "policy", "plicy": "policy", "tshrit": "tshirt", "tshit": "tshirt", "hoddie": "hoodie", "hoodei": "hoodie",
@@ -112,4 +115,5 @@ FULL_FROM, PARTIAL_FROM = 0.85, 0.75
 
 # --- Evaluation and service levels.
 RECALL_FROM, NO_RESULT_TO, SIMILARITY_FROM = 0.70, 0.10, 0.40
+SIMILARITY_THRESHOLD = 0.35
 SLA_MS = {"fast": 500, "cached": 200, "full": 3000}

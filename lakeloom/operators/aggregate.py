@@ -14,11 +14,12 @@ def share(condition: Column) -> Column:
 def index_percentiles(df: DataFrame, key: str, value: str, percents: tuple[int, ...]) -> DataFrame:
     """(key, n, p50, ...): the sorted value at index n p div 100 of each key.
 
-    Values are ranked in a window and only the wanted places kept; no key's
-    values are gathered in one array.
+    Equal values are counted first, so a window runs over a key's distinct
+    values, and no key's values are gathered in one array.
     """
-    n = F.count("*").over(Window.partitionBy(key))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
-    ranked = df.where(F.col(value).isNotNull()).select(key, value, n.alias("n"), place.alias("i"))
-    pick = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100)), F.col(value)))
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(key).orderBy(value))
+    ranked = counts.select(key, value, "times", upto.alias("upto")).withColumn("n", F.sum("times").over(Window.partitionBy(key)))
+    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100))
+    pick = lambda p: F.max(F.when((at(p) < F.col("upto")) & (at(p) >= F.col("upto") - F.col("times")), F.col(value)))
     return ranked.groupBy(key).agg(F.max("n").alias("n"), *[pick(p).alias(f"p{p}") for p in percents])

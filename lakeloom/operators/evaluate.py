@@ -24,3 +24,12 @@ def response_quality(had_context: Column, hallucinated: Column, length: Column,
     """1 less penalties for a missing context, a hallucination, a very short answer and nothing retrieved; 0 at least."""
     penalty = F.when(had_context, 0.0).otherwise(0.4) + F.when(hallucinated, 0.5).otherwise(0.0) + F.when(length < 50, 0.2).otherwise(0.0) + F.when(n_retrieved == 0, 0.3).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.round(1.0 - penalty, 2))
+
+
+def gate(told: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """One row of (query, n results, hit, top similarity) rows: the three measures, those that break their limit, and whether none does."""
+    c = F.col
+    mean = lambda x: F.round(F.avg(x.cast("double")), 4)
+    means = told.agg(F.count("*").alias("queries"), mean(F.coalesce("hit", F.lit(0))).alias("recall_at_k"), mean((c("n") == 0).cast("int")).alias("no_result_rate"), mean(F.coalesce("top", F.lit(0.0))).alias("avg_top_similarity"))
+    broken = [F.when(c("no_result_rate") > limits["no_result_rate"] if k == "no_result_rate" else c(k) < v, k) for k, v in limits.items()]
+    return means.withColumn("violations", F.filter(F.array(*broken), lambda x: x.isNotNull())).withColumn("passed", F.size("violations") == 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,5 +34,14 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, folder: str | None = No
             path = f"{folder}/hop-{uuid.uuid4().hex}"
             step.write.parquet(path)
             step = spark.read.schema(step.schema).parquet(path)
+        else:
+            step = step.persist(StorageLevel.MEMORY_AND_DISK)  # or each later hop computes it again
         found, front = found.unionByName(step), step
     return found
+
+
+def related(both: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, other, shared): the nodes two steps from each of ``nodes``, with the number of shared neighbours."""
+    steps = nodes.join(both, F.col("node") == F.col("a")).select("node", F.col("b").alias("via"))
+    other = both.select(F.col("a").alias("via"), F.col("b").alias("other"))
+    return steps.join(other, "via").where("other <> node").groupBy("node", "other").agg(F.count("*").alias("shared"))

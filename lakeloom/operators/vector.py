@@ -22,17 +22,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
+def _first(places: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` places of highest score, rounded to six places, those of smaller ids first; a few more, as rounding may differ."""
+    if len(places) <= k + 5:
+        return places
+    return places[np.lexsort((ids[places], -np.round(scores[places], 6)))[: k + 5]]
+
+
 def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, threshold: float = -1.0, guard: str | None = None) -> DataFrame:
     """(query_id, rank, id, similarity): each query's ``k`` most similar rows at or above the threshold.
 
     ``queries`` and ``rows`` hold (id, vector) and, with ``guard``, a column that
     must be equal.  A row never answers itself.  Query vectors go out a bounded
     block at a time; rows are scored where they lie and only each batch's best
-    are shuffled.
+    are shuffled.  Ties go to smaller ids.  Vectors that are null, hold a null
+    or non-finite number, or have another length than most rows take no part; a
+    zero vector has similarity 0.
     """
     spark = rows.sparkSession
     names = ["id", "vector", *([guard] if guard else [])]
-    queries, rows = queries.select(*names), rows.select(*names)
+    v = F.col("vector")
+    sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    queries, rows = queries.select(*names).where(sound & F.col("id").isNotNull()), rows.select(*names).where(sound & F.col("id").isNotNull())
+    most = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    queries, rows = (d.where(F.size("vector") == (most.dim if most else 0)) for d in (queries, rows))
     n_blocks = max(1, -(-queries.count() // BLOCK))
     found = None
     for b in range(n_blocks):
@@ -54,12 +67,11 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, threshold: float =
                 if guards is not None:
                     ok &= batch.column(2).to_numpy(zero_copy_only=False)[None, :] == guards[:, None]
                 s = np.where(ok, s, -np.inf)
-                keep = min(k + 5, s.shape[1])
-                best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                i = np.repeat(np.arange(len(ids)), keep)
-                j = best.ravel()
-                fine = ok[i, j]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i[fine]]), pa.array(own[j[fine]].astype(np.int64)), pa.array(s[i[fine], j[fine]])], names=["query_id", "id", "similarity"])
+                keep = min(k, s.shape[1])
+                cut = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
+                out = [_first(np.flatnonzero(ok[i] & (s[i] >= cut[i] - 2e-6)), own, s[i], k) for i in range(len(ids))]  # rounding to six places comes later
+                i, j = np.repeat(np.arange(len(ids)), [len(x) for x in out]), np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j].astype(np.int64)), pa.array(s[i, j])], names=["query_id", "id", "similarity"])
 
         part = rows.mapInArrow(score, "query_id long, id long, similarity double")
         found = part if found is None else found.unionByName(part)

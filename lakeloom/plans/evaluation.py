@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import vocabulary as V
-from lakeloom.operators.evaluate import ranking_quality, response_quality
+from lakeloom.operators.evaluate import gate, ranking_quality, response_quality
 from lakeloom.operators.vector import cosine_top_k
 from lakeloom.plans.registry import query, table
 from lakeloom.plans.retrieval import PAIRS_SQL, vectors
@@ -31,10 +31,17 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, sf_dir)
 
 
-@query(f"WITH {QUALITY_SQL} SELECT count(*) AS queries, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(reciprocal_rank), 4) AS mrr, avg(precision) >= 0.7 AS passed FROM q")
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p WHERE similarity >= 0.35), a AS (SELECT DISTINCT query_id FROM p),
+t AS (SELECT query_id, count(id) AS n, coalesce(max(CASE WHEN label = q_label THEN 1 ELSE 0 END), 0) AS hit, coalesce(max(similarity), 0.0) AS top FROM a LEFT JOIN (SELECT * FROM r WHERE rank <= 5) x USING (query_id) GROUP BY 1),
+g AS (SELECT count(*) AS queries, round(avg(hit), 4) AS recall_at_k, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END), 4) AS no_result_rate, round(avg(top), 4) AS avg_top_similarity FROM t),
+v AS (SELECT *, list_filter([CASE WHEN recall_at_k < 0.7 THEN 'recall_at_k' END, CASE WHEN no_result_rate > 0.1 THEN 'no_result_rate' END, CASE WHEN avg_top_similarity < 0.4 THEN 'avg_top_similarity' END], lambda x: x IS NOT NULL) AS violations FROM g) SELECT *, len(violations) = 0 AS passed FROM v""")
 def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means over the queries, and whether they pass the gate."""
-    return quality(spark, sf_dir).agg(F.count("*").alias("queries"), F.round(F.avg("precision"), 4).alias("precision"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("reciprocal_rank"), 4).alias("mrr"), (F.avg("precision") >= V.RECALL_FROM).alias("passed"))
+    """The gate over all queries: found among five hits above the threshold, no hits at all, similarity of the first."""
+    asked, rows = vectors(spark, sf_dir)
+    own, other = asked.select(F.col("id").alias("query_id"), F.col("label").alias("wanted")), rows.select("id", "label")
+    hits = cosine_top_k(asked, rows, 5, threshold=V.SIMILARITY_THRESHOLD).join(other, "id")
+    told = own.join(hits, "query_id", "left").groupBy("query_id").agg(F.count("id").alias("n"), F.max((F.col("label") == F.col("wanted")).cast("int")).alias("hit"), F.max("similarity").alias("top"))
+    return gate(told, {"recall_at_k": V.RECALL_FROM, "no_result_rate": V.NO_RESULT_TO, "avg_top_similarity": V.SIMILARITY_FROM})
 
 
 @query("""SELECT conv_id, turn, CAST(greatest(0.0, round(1.0 - CASE WHEN turn > 0 THEN 0.0 ELSE 0.4 END - CASE WHEN contains(lower(text), 'never') THEN 0.5 ELSE 0.0 END - CASE WHEN length(text) < 50 THEN 0.2 ELSE 0.0 END - CASE WHEN turn % 5 = 0 THEN 0.3 ELSE 0.0 END, 2)) AS DOUBLE) + 0.0 AS score

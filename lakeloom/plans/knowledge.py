@@ -6,20 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import planning as P
-from lakeloom.plans.registry import query, table
+from lakeloom.plans.registry import alias, query, table
 from lakeloom.plans.texts import any_sql
 
 
-@query("""SELECT doc_id, source, md5(string_agg(left(text, 200), chr(10)) OVER (PARTITION BY source ORDER BY doc_id RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING)) AS digest FROM documents""")
+@query("""SELECT doc_id, source, md5(coalesce(string_agg(md5(text), chr(10)) OVER (PARTITION BY source ORDER BY doc_id RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING), '')) AS digest FROM documents""")
 def sibling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 200 characters of each chunk and its neighbours in the source (ids at most 40 away), in order."""
-    w = Window.partitionBy("source").orderBy("doc_id").rangeBetween(-40, 40)
-    near = F.collect_list(F.substring("text", 1, 200)).over(w)
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.array_join(near, "\n")).alias("digest"))
-
-
-@query()
-def whole_sibling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the digests of each whole chunk and its neighbours in the source (ids at most 40 away), in order.
 
     A source is split into blocks of 1,000 ids, and the rows near a border are
@@ -33,6 +25,9 @@ def whole_sibling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "source", F.md5(F.array_join(F.transform(F.sort_array("near"), lambda x: x["h"]), "\n")).alias("digest"))
 
 
+alias("whole_sibling_windows", sibling_windows)
+
+
 @query("""SELECT c.doc_id, p.doc_id AS parent_id, p.n_chars AS parent_chars FROM documents c JOIN documents p ON p.source = c.source AND p.doc_id = c.doc_id - c.doc_id % 40 WHERE c.n_chars < 400""")
 def parent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parent of every short chunk: same source, the parent's index."""
@@ -101,19 +96,9 @@ def documents_sharing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words("benchmark", "item_id").join(words("documents", "doc_id"), "w").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-@query("""WITH m AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS entity FROM documents), n AS (SELECT entity, count(*) AS n FROM m GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20)
-SELECT least(a.entity, b.entity) AS a, greatest(a.entity, b.entity) AS b, count(DISTINCT a.doc_id) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity WHERE a.entity IN (SELECT entity FROM n) AND b.entity IN (SELECT entity FROM n) GROUP BY 1, 2 HAVING count(DISTINCT a.doc_id) > 1""")
+@query("""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS entity FROM documents)
+SELECT a.entity AS a, b.entity AS b, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) > 1""")
 def co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between rare names (2 to 20 documents) that several documents mention together."""
-    mentions = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), 0))).alias("entity"))
-    rare = mentions.groupBy("entity").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 20").select("entity")
-    kept = mentions.join(rare, "entity")
-    pairs = kept.select("doc_id", F.col("entity").alias("a")).join(kept.select("doc_id", F.col("entity").alias("b")), "doc_id").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.countDistinct("doc_id").alias("weight")).where("weight > 1")
-
-
-@query()
-def all_co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between all names that several documents mention together, however frequent.
 
     Documents with the same names are counted first; a document's pairs come
@@ -124,3 +109,6 @@ def all_co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = classes.select("names", "n", F.posexplode("names").alias("i", "a"))
     pairs = first.select("n", "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("weight")).where("weight > 1")
+
+
+alias("all_co_mentions", co_mentions)

@@ -9,7 +9,7 @@ from lakeloom.functions import classify as C
 from lakeloom.functions import planning as P
 from lakeloom.functions import vocabulary as V
 from lakeloom.plans.registry import query, table
-from lakeloom.plans.texts import INTENT_SQL, REQUEST_SQL, RISK_SQL, any_sql, count_sql, s
+from lakeloom.plans.texts import INTENT_SQL, REQUEST_SQL, RISK_SQL, any_sql, count_sql, override_sql, s
 
 _L = "lower(text)"
 _WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
@@ -35,7 +35,7 @@ def retrieval_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "intent", plan.alias("p"), P.context_limits(text, F.col("n")).alias("c")).select("conv_id", "turn", "intent", "p.route", "p.top_k", "c.chunks")
 
 
-@query(f"""WITH q AS (SELECT conv_id, turn, {REQUEST_SQL} AS kind, CASE WHEN {count_sql(_L, [*V.JAILBREAK, *V.INJECTION])} > 0 THEN 'critical' ELSE 'low' END AS risk FROM conversations) SELECT conv_id, turn, kind, CASE WHEN risk = 'critical' OR kind = 'reasoning' THEN 'large' ELSE 'small' END AS model FROM q""")
+@query(f"""WITH q AS (SELECT conv_id, turn, {REQUEST_SQL} AS kind, CASE WHEN {override_sql(_L)} > 0 THEN 'critical' ELSE 'low' END AS risk FROM conversations) SELECT conv_id, turn, kind, CASE WHEN risk = 'critical' OR kind = 'reasoning' THEN 'large' ELSE 'small' END AS model FROM q""")
 def model_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model that answers: the large one for risky messages and reasoning."""
     risk = F.when(C.jailbreak_hits(F.col("text")) > 0, "critical").otherwise("low")
@@ -52,7 +52,7 @@ def memory_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PII_ANY = f"{count_sql('text', ['(?i)' + p for p in V.PII.values()])} > 0"
 _HIGH = any_sql(_L, V.COMPLIANCE["no_medical_diagnosis"][1])
-_JAIL = f"{count_sql(_L, [*V.JAILBREAK, *V.INJECTION])} > 0"
+_JAIL = f"{override_sql(_L)} > 0"
 DECISION_SQL = f"""d AS (SELECT doc_id, lang, {_JAIL} AS j, {any_sql(_L, V.SENSITIVE_TOPICS)} AS t, {any_sql(_L, V.UNSAFE_WORDS)} AS u, {_PII_ANY} AS p, {_HIGH} AS h, {", ".join(f"{any_sql(_L, x)} AS {r}" for r, (_, x) in V.COMPLIANCE.items())} FROM documents),
 e AS (SELECT doc_id, lang, CASE WHEN j OR t THEN 'block' WHEN u OR h THEN 'warn' ELSE 'allow' END AS action, CASE WHEN j OR t THEN 'critical' WHEN u THEN 'high' WHEN p OR h THEN 'medium' ELSE 'low' END AS level,
 CASE WHEN j THEN ['jailbreak_detected'] WHEN t THEN ['unsafe_content'] ELSE list_filter([CASE WHEN u THEN 'unsafe_content' END, CASE WHEN p THEN 'pii_detected' END, {", ".join(f"CASE WHEN {r} THEN '{r}' END" for r in V.COMPLIANCE)}], lambda x: x IS NOT NULL) END AS flags FROM d)"""
@@ -81,7 +81,7 @@ def escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents are escalated, and why."""
     from lakeloom.plans.texts import risk
 
-    joined = risk(spark, sf_dir).select("doc_id", "score", "fraud").join(decided(spark, sf_dir).select("doc_id", "flags"), "doc_id")
+    joined = risk(spark, sf_dir, P.decision(F.col("text"))["flags"]).select("doc_id", "score", "fraud", F.col("more_0").alias("flags"))
     rules = P.escalation(F.col("score"), F.col("fraud"), F.array_contains("flags", "jailbreak_detected"), F.size("flags"))
     return joined.select("doc_id", rules.alias("rules")).withColumn("escalate", F.size("rules") > 0)
 

@@ -28,6 +28,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def alias(name: str, other: Query) -> None:
+    """Register a query under one more name."""
+    _QUERIES[name] = other
+    if other.__name__ in _SQL:
+        _SQL[name] = _SQL[other.__name__]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

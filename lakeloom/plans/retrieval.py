@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.search import bm25, postings, reciprocal_rank_fusion
-from lakeloom.operators.sets import keep_best
+from lakeloom.functions import vocabulary as V
+from lakeloom.operators.search import bm25, hashed_vectors, merge_hits, postings, reciprocal_rank_fusion
 from lakeloom.operators.vector import cosine_top_k
 from lakeloom.plans.registry import query, table
 
@@ -55,14 +55,49 @@ def keyword_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 5)
 
 
-@query(f"""WITH {BM25_SQL}, l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM k WHERE rank <= 20),
-f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM k WHERE rank <= 20 UNION ALL SELECT * FROM l) GROUP BY 1, 2),
+#: Hashed term counts of questions and documents, and their cosine.
+HASHED_SQL = """hd AS (SELECT doc_id AS id, left(md5(t), 2) AS b, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) GROUP BY 1, 2),
+hq AS (SELECT item_id AS query_id, left(md5(t), 2) AS b, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark) GROUP BY 1, 2),
+ln AS (SELECT id, sqrt(sum(n * n)) AS x FROM hd GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(n * n)) AS x FROM hq GROUP BY 1),
+hc AS (SELECT query_id, id, round(s / ln.x / qn.x, 6) AS similarity FROM (SELECT query_id, id, CAST(sum(hd.n * hq.n) AS DOUBLE) AS s FROM hd JOIN hq USING (b) GROUP BY 1, 2) JOIN ln USING (id) JOIN qn USING (query_id)),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM hc)"""
+
+
+def hashed_hits(spark: SparkSession, sf_dir: str, k: int, threshold: float = -1.0) -> DataFrame:
+    """The documents nearest to each benchmark item by hashed terms; ids of items and documents are apart."""
+    asked = hashed_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumn("id", -1 - F.col("id"))  # an item never is a document
+    return cosine_top_k(asked, hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text"), k, threshold).withColumn("query_id", -1 - F.col("query_id"))
+
+
+@query(f"""WITH {BM25_SQL}, {HASHED_SQL}, f AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM k WHERE rank <= 20 UNION ALL SELECT query_id, id, rank FROM v WHERE rank <= 20) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) SELECT query_id, rank, id, CAST(score AS DOUBLE) AS score FROM r WHERE rank <= 5""")
 def fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings of the keyword hits (best first, worst first) fused by reciprocal ranks."""
+    """The keyword ranking and the vector ranking of the documents, fused by reciprocal ranks."""
     found = bm25(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 20)
-    other = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
-    return reciprocal_rank_fusion([found, other], 5)
+    return reciprocal_rank_fusion([found, hashed_hits(spark, sf_dir, 20)], 5)
+
+
+AND_SQL = """n AS (SELECT query_id, count(*) AS n FROM a GROUP BY 1), every AS (SELECT query_id, id FROM a JOIN i USING (term) JOIN n USING (query_id) GROUP BY 1, 2 HAVING count(*) = any_value(n.n)),
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM b JOIN every USING (query_id, id))"""
+
+
+@query(f"WITH {BM25_SQL}, {AND_SQL} SELECT query_id, place AS rank, id, score FROM w WHERE place <= 10")
+def all_terms_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents that hold every term of a benchmark item."""
+    return bm25(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 10, every_term=True)
+
+
+@query(f"""WITH {BM25_SQL}, {AND_SQL}, {HASHED_SQL}, x AS (SELECT query_id, id, similarity, 'vector' AS channel FROM v WHERE similarity >= 0.35 AND rank <= 5), y AS (SELECT query_id, id, round(score / (score + 10), 6) AS similarity, 'keyword' AS channel FROM w WHERE place <= 10),
+m AS (SELECT query_id, count(*) AS more FROM y GROUP BY 1), z AS (SELECT * FROM x UNION ALL SELECT * FROM y ANTI JOIN x USING (query_id, id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM z)
+SELECT query_id, rank, id, similarity, channel FROM r LEFT JOIN m USING (query_id) WHERE rank <= 5 + coalesce(more, 0)""")
+def hybrid_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval: five vector hits above the threshold and the keyword hits that they lack, by similarity.
+
+    A keyword hit holds every term of the question; its score s counts as s / (s + 10).
+    """
+    score = F.col("score")
+    worded = bm25(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 10, every_term=True).withColumn("similarity", F.round(score / (score + 10), 6))
+    return merge_hits(hashed_hits(spark, sf_dir, 5, V.SIMILARITY_THRESHOLD), worded, 5)
 
 
 @query("""SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1""")
@@ -132,4 +167,4 @@ def pages_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT md5(text) AS digest, min(doc_id) AS kept, count(*) - 1 AS skipped FROM documents GROUP BY 1""")
 def unchanged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose content was seen before are skipped."""
-    return keep_best(table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest")).withColumn("skipped", F.count("*").over(Window.partitionBy("digest")) - 1), ["digest"], F.col("doc_id")).select("digest", F.col("doc_id").alias("kept"), "skipped")
+    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("kept"), (F.count("*") - 1).alias("skipped"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import classify as C
@@ -23,6 +23,13 @@ def count_sql(column: str, patterns) -> str:
     return "(" + " + ".join(f"CAST(regexp_matches({column}, {s(p)}) AS INTEGER)" for p in patterns) + ")"
 
 
+def override_sql(column: str) -> str:
+    """How many override patterns match.  The two with a look-ahead count their beginnings and those that go on with the excluded word."""
+    n = lambda p: f"len(regexp_extract_all({column}, {s(p)}))"
+    more = " + ".join(f"CAST({n(p)} > {n(p + 'assistant')} AS INTEGER)" for p in ("you are now ", "act as (?:if you are|a|an) "))
+    return f"({count_sql(column, [*V.JAILBREAK, *V.INJECTION])} + {more})"
+
+
 def times_sql(column: str, phrases) -> str:
     return "(" + " + ".join(f"((length({column}) - length(replace({column}, {s(p)}, ''))) // {len(p)})" for p in phrases) + ")"
 
@@ -45,10 +52,10 @@ def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(C.redact(F.col("text"))).alias("digest"))
 
 
-@query(f"""WITH h AS (SELECT conv_id, turn, {count_sql("lower(text)", [*V.JAILBREAK, *V.INJECTION])} AS hits FROM conversations)
+@query(f"""WITH h AS (SELECT conv_id, turn, {override_sql("lower(text)")} AS hits FROM conversations)
 SELECT conv_id, turn, hits, CAST(round(least(1.0, hits * 0.3), 2) AS DOUBLE) AS confidence, CASE WHEN hits > 0 THEN 'critical' ELSE 'low' END AS level FROM h""")
 def jailbreaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Override attempts in messages.  The SQL lacks the two look-ahead patterns, as its engine has none."""
+    """Override attempts in messages."""
     hits = C.jailbreak_hits(F.col("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", hits.alias("hits"))
     return rows.select("conv_id", "turn", "hits", F.round(F.least(F.lit(1.0), F.col("hits") * V.JAILBREAK_CONFIDENCE), 2).alias("confidence"), F.when(F.col("hits") > 0, "critical").otherwise("low").alias("level"))
@@ -74,13 +81,15 @@ least(100.0, 50.0 * ({times_sql("lower(text)", ("api_key", "password", "secret")
 b AS (SELECT doc_id, lang, CAST(fraud AS DOUBLE) AS fraud, CAST(pii AS DOUBLE) AS pii, CAST(leakage AS DOUBLE) AS leakage, CAST(round(score, 4) AS DOUBLE) AS score, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level, score >= 70 AS escalate FROM c)"""
 
 
-def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def risk(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """The scores of every document, and more columns made of its row."""
+    names = [f"more_{i}" for i in range(len(more))]
     text = F.col("text")
     found = C.matched_patterns(text, ["(?i)" + p for p in V.PII.values()])
     leaks = sum((C.occurrences(F.lower(text), w) for w in ("api_key", "password", "secret")), F.lit(0))
-    parts = table(spark, sf_dir, "documents").select("doc_id", "lang", C.fraud_score(text).alias("fraud"), F.least(F.lit(100.0), found * 25.0).alias("pii"), F.least(F.lit(100.0), leaks * 50.0).alias("leakage"))
+    parts = table(spark, sf_dir, "documents").select("doc_id", "lang", C.fraud_score(text).alias("fraud"), F.least(F.lit(100.0), found * 25.0).alias("pii"), F.least(F.lit(100.0), leaks * 50.0).alias("leakage"), *[c.alias(n) for c, n in zip(more, names, strict=True)])
     score = C.combined_risk({k: F.col(k) for k in ("fraud", "pii", "leakage")})
-    return parts.withColumn("s", score).select("doc_id", "lang", "fraud", "pii", "leakage", F.round("s", 4).alias("score"), C.risk_level(F.col("s")).alias("level"), (F.col("s") >= V.ESCALATION_SCORE).alias("escalate"))
+    return parts.withColumn("s", score).select("doc_id", "lang", "fraud", "pii", "leakage", F.round("s", 4).alias("score"), C.risk_level(F.col("s")).alias("level"), (F.col("s") >= V.ESCALATION_SCORE).alias("escalate"), *names)
 
 
 @query(f"WITH {RISK_SQL} SELECT * FROM b")
@@ -171,10 +180,25 @@ def corrected_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.correct_typos(F.col("text")).alias("corrected"))
 
 
-@query(f"""SELECT doc_id, list_filter([{", ".join(map(s, V.CATEGORIES))}], lambda w: contains({_Q}, w)) AS categories, regexp_extract_all(text, {s(V.SKU)}, 1) AS skus FROM documents""")
+_PLAIN = r"[^\pL\pN_]+"
+
+
+def alone_sql(words) -> str:
+    """The whole words of a list that ``n`` (lower case, other characters as single spaces, one at each end) or ``low`` holds."""
+    return "list_filter([" + ", ".join(f"CASE WHEN contains(n, ' {w} ') THEN '{w}' END" if w.isalnum() else f"CASE WHEN regexp_matches(low, '(^|[^\\pL\\pN_]){w}([^\\pL\\pN_]|$)') THEN '{w}' END" for w in words) + "], lambda x: x IS NOT NULL)"
+
+
+def alone(words) -> Column:
+    hit = lambda w: F.contains(F.col("n"), F.lit(f" {w} ")) if w.isalnum() else F.col("low").rlike(rf"(^|[^\pL\pN_]){w}([^\pL\pN_]|$)")
+    return F.filter(F.array(*[F.when(hit(w), w) for w in words]), lambda x: x.isNotNull())
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, lower(text) AS low, ' ' || regexp_replace(lower(text), '[^\\pL\\pN_]+', ' ', 'g') || ' ' AS n FROM documents)
+SELECT doc_id, {alone_sql(V.CATEGORIES)} AS categories, regexp_extract_all(text, {s(V.SKU)}, 1) AS skus, list_filter([{", ".join(map(s, V.BRANDS))}], lambda w: contains(low, w)) AS brands, {alone_sql(V.PLACES)} AS places FROM t""")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product categories and stock codes named in a text."""
-    return table(spark, sf_dir, "documents").select("doc_id", C.matched(F.lower("text"), V.CATEGORIES).alias("categories"), F.regexp_extract_all("text", F.lit(V.SKU), 1).alias("skus"))
+    """Product categories, stock codes, brands and places named in a text; categories and places as whole words."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low"), F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), _PLAIN, " "), F.lit(" ")).alias("n"))
+    return texts.select("doc_id", alone(V.CATEGORIES).alias("categories"), F.regexp_extract_all("text", F.lit(V.SKU), 1).alias("skus"), C.matched(F.col("low"), V.BRANDS).alias("brands"), alone(V.PLACES).alias("places"))
 
 
 @query("""WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[\\x{0980}-\\x{09FF}]')) AS bengali, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '[À-ÿ]')) AS accented FROM documents)
