@@ -50,7 +50,7 @@ class Config:
     width: int = 3
     percent: int = 90
     group_size: int = 256
-    queries_per_task: int = 2048
+    queries_per_task: int = 512
     sketch_bits: int = 22
     hot_level: int = 2
     hot_percent: int = 30

@@ -199,7 +199,7 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float], conf
     The columns are those of ``docs``.
     """
     model = train_domains(docs, labels, config)
-    told = materialise(with_posteriors(docs, model), "members")  # whole rows: their words are hashed once, and a lost task costs no more
+    told = materialise(with_posteriors(docs, model), "members", compression="zstd")  # whole rows: their words are hashed once, and a lost task costs no more
     rates = fit_rates(told, model.domains, targets, config)
     u = F.pmod(F.xxhash64(F.col("row.doc_id").cast("string"), F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(rate_of(F.col("posterior"), rates) + u).cast("int")

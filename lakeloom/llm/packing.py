@@ -1,7 +1,7 @@
 """Packing documents into training sequences of balanced attention cost.
 
 Documents are tokenised and packed in the task that reads them, a block of
-about a thousand sequences at a time, so nothing is shuffled and memory does
+about five hundred sequences at a time, so nothing is shuffled and memory does
 not grow with the table.  In a block, pieces longer than a sequence are cut
 first; then the documents go, longest first, to the sequence of lowest cost
 (linear in its tokens plus quadratic in each piece, as attention is masked at
@@ -103,7 +103,7 @@ def pack_block(pieces: list[Piece], capacity: int = 4096, linear: float = 1.0, q
     return sequences, rest
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096, block_sequences: int = 1024, special_names: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, capacity: int = 4096, linear: float = 1.0, quadratic: float = 1 / 4096, block_sequences: int = 512, special_names: bool = True) -> DataFrame:
     """One row per piece: where it comes from, where it lies, and the crc32 of its ids.
 
     ``special_names``: the name of a special token in a text is its id, as plain ``tokenizers`` has it.

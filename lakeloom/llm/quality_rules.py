@@ -130,7 +130,7 @@ def keep_passing(docs: DataFrame, rules: Rules = Rules(), host: str = "source")
     shaped = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col(host).alias("source"), F.col("text").cast("string").alias("text"))
     judged = apply_rules(document_counts(shaped, "source", "row"), rules)
     out = F.col("base_failed") | F.col("symbol_failed")
-    judged = materialise(judged.select("host", "failed", out.alias("out"), F.when(~out, F.col("row")).alias("row")), "rule-rows")
+    judged = materialise(judged.select("host", "failed", out.alias("out"), F.when(~out, F.col("row")).alias("row")), "rule-rows", compression="zstd")
     verdicts = bounded(host_rates(judged).where(F.col("rate") >= rules.doubt_rate).select(F.col("host").alias("host_name"), "rate"))
     joined = judged.where("NOT out").join(verdicts, F.col("host").eqNullSafe(F.col("host_name")), "left")
     rate = F.coalesce("rate", F.lit(0.0))

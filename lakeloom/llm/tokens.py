@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a Python worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 #: A Latin letter that stays one letter, the punctuation after it, and the word's end; U+0130 turns into a letter and a mark.
 _WORD_END = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}])([.,!?;:]+)(\s|$)"
@@ -105,8 +105,8 @@ class WordTokenizer:
                 rest.append(w)
             else:
                 cache[w] = array("I", [t.id for t in self._merge(letters)]).tobytes()
-        for i in range(0, len(rest), 5_000):  # encodings hold far more than ids: few at a time
-            part = rest[i : i + 5_000]
+        for i in range(0, len(rest), 2_000):  # encodings hold far more than ids: few at a time
+            part = rest[i : i + 2_000]
             for w, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 cache[w] = array("I", e.ids).tobytes()
         if not words:
@@ -128,7 +128,7 @@ def tokenizer(path: str, special_names: bool = False) -> WordTokenizer:
     return WordTokenizer(path, special_names)
 
 
-def encode_with_end(texts: pa.Array, path: str, end_id: int, special_names: bool = False, slice_chars: int = 1_500_000):
+def encode_with_end(texts: pa.Array, path: str, end_id: int, special_names: bool = False, slice_chars: int = 1_000_000):
     """Yield (first row, ids, bounds) for slices of a column; each row's ids end with ``end_id``.
 
     Slices hold about ``slice_chars`` bytes, so that a batch of very long texts stays small.
