@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 CHUNK_SIZE = {"product_spec": 800, "faq": 1200, "table": 1500, "documentation": 3000, "article": 2500, "text": 2000}
 OVERLAP = 200
 
+#: Phrases and how often a page has them if it lists places and stays whole; what tells a chunk's kind, first match first.
+ATOMIC = {"opening hours": 2, "google map": 2, "shop no": 2, "floor": 3}
+KINDS = {"faq": r"(?im)^Q:\s*[^\n]+", "table": r"[^\n]\|[^\n]", "product_spec": "Price:|SKU:|Brand:|Availability:", "documentation": r"#{1,6}\s"}
+
+_KINDS = {kind: re.compile(p) for kind, p in KINDS.items()}
 _HEADING = re.compile(r"#{1,6}\s+\S|[A-Z][A-Z\s]{3,50}:?\s*$")
 _RULE = re.compile(r"\s*[-=]{3,}\s*$")
 
@@ -56,11 +61,52 @@ def cut(section: str, size: int, overlap: int) -> list[str]:
     return pieces
 
 
+def is_atomic(text: str) -> bool:
+    """Whether a page lists places, so that it must stay one chunk."""
+    lower = text.lower()
+    return any(lower.count(phrase) >= n for phrase, n in ATOMIC.items())
+
+
+def kind_of(chunk: str) -> str:
+    return next((kind for kind, p in _KINDS.items() if p.search(chunk)), "text")
+
+
+def typed_chunk(text: str | None) -> list[tuple[str, int, str]]:
+    """(kind, parent, chunk): a text's chunks, those too long for their kind cut again; a piece's parent is the chunk it was cut from."""
+    out = []
+    for parent, chunk in enumerate(semantic_chunk(text)):
+        kind = kind_of(chunk)
+        pieces = [chunk] if len(chunk) <= CHUNK_SIZE[kind] else cut(chunk, CHUNK_SIZE[kind], OVERLAP)
+        out += [(kind, parent, piece) for piece in pieces]
+    return out
+
+
+def typed_chunks(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, chunk_index, total_chunks, kind, parent_index, chunk, carried text columns) of (doc_id, text), where the texts lie.
+
+    A null or empty text has no chunks; a null id stays null.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                found = typed_chunk(text)
+                rows += [(at, doc, i, len(found), *c) for i, c in enumerate(found)]
+            at, *columns = zip(*rows, strict=True) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+            more = [batch.column(2 + i).take(pa.array(at, pa.int64())) for i in range(len(carried))]
+            yield pa.RecordBatch.from_arrays([*[pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], *more], names=["doc_id", "chunk_index", "total_chunks", "kind", "parent_index", "chunk", *carried])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("string").alias(c) for c in carried])
+    return texts.mapInArrow(run, ", ".join(["doc_id long, chunk_index int, total_chunks int, kind string, parent_index int, chunk string", *[f"{c} string" for c in carried]]))
+
+
 def semantic_chunk(text: str | None, size: int = CHUNK_SIZE["text"], overlap: int = OVERLAP) -> list[str]:
-    """A text's chunks: whole if short, else by sections, long ones cut and short neighbours merged."""
+    """A text's chunks: whole if short or a list of places, else by sections, long ones cut and short neighbours merged."""
     if not text or not text.strip():
         return []
-    if len(text) <= size:
+    if len(text) <= size or is_atomic(text):
         return [text.strip()]
     chunks: list[str] = []
     for s in sections(text):

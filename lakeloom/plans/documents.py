@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import classify as C
 from lakeloom.functions import vocabulary as V
-from lakeloom.operators.chunking import fixed_chunks, semantic_chunks
+from lakeloom.operators.chunking import fixed_chunks, semantic_chunks, typed_chunks
 from lakeloom.operators.html import extract_pages, first_tag, visible_text
 from lakeloom.plans.registry import query, table
 from lakeloom.plans.texts import any_sql, count_sql, s
@@ -106,6 +106,13 @@ def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic_chunks(table(spark, sf_dir, "documents")).withColumn("kind", C.chunk_type(F.col("chunk")))
 
 
+@query()
+def sized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks sized by their kind, with their parents and a header, ready to be embedded."""
+    header = F.concat(F.lit("Source: "), F.coalesce("source", F.lit("")), F.lit("\nType: "), "kind")
+    return typed_chunks(table(spark, sf_dir, "documents"), "source").select("doc_id", "chunk_index", "total_chunks", "kind", "parent_index", F.length("chunk").alias("n_chars"), F.md5(F.concat(header, F.lit("\n\n"), "chunk")).alias("digest"))
+
+
 @query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)^Q:\\s*[^\\n]+') THEN 'faq' WHEN regexp_matches(text, '[^\\n]\\|[^\\n]') THEN 'table' WHEN regexp_matches(text, 'Price:|SKU:|Brand:|Availability:') THEN 'product_spec' WHEN regexp_matches(text, '#{1,6}\\s') THEN 'documentation' ELSE 'text' END AS kind,
 'Source: ' || source || chr(10) || 'Language: ' || lang AS header FROM documents""")
 def chunk_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

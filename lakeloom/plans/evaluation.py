@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import vocabulary as V
-from lakeloom.operators.evaluate import gate, ranking_quality, response_quality
+from lakeloom.operators.evaluate import gate, ranking_quality
 from lakeloom.operators.vector import cosine_top_k
 from lakeloom.plans.registry import query, table
 from lakeloom.plans.retrieval import PAIRS_SQL, vectors
@@ -44,14 +44,6 @@ def retrieval_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate(told, {"recall_at_k": V.RECALL_FROM, "no_result_rate": V.NO_RESULT_TO, "avg_top_similarity": V.SIMILARITY_FROM})
 
 
-@query("""SELECT conv_id, turn, CAST(greatest(0.0, round(1.0 - CASE WHEN turn > 0 THEN 0.0 ELSE 0.4 END - CASE WHEN contains(lower(text), 'never') THEN 0.5 ELSE 0.0 END - CASE WHEN length(text) < 50 THEN 0.2 ELSE 0.0 END - CASE WHEN turn % 5 = 0 THEN 0.3 ELSE 0.0 END, 2)) AS DOUBLE) + 0.0 AS score
-FROM conversations WHERE role = 'assistant'""")
-def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality score of every answer."""
-    score = response_quality(F.col("turn") > 0, F.contains(F.lower("text"), F.lit("never")), F.length("text"), F.col("turn") % 5)
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", score.alias("score"))
-
-
 @query("""SELECT event_type AS path, count(*) AS n, count(*) FILTER (WHERE value <= CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 500 ELSE 3000 END) AS met,
 round(count(*) FILTER (WHERE value <= CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 500 ELSE 3000 END) / count(*), 4) AS rate FROM events GROUP BY 1""")
 def service_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,13 +107,3 @@ CASE WHEN NOT regexp_matches(text, '^[A-Z]') THEN 'starts_upper' END], lambda x:
 def policy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarative rules compiled to one expression."""
     return table(spark, sf_dir, "documents").select("doc_id", P.policy_violations(RULES, {"source": F.col("source"), "text": F.col("text")}).alias("violations"))
-
-
-@query("""WITH s AS (SELECT doc_id, source, unnest(list_filter(string_split(text, '.'), lambda x: length(trim(x)) > 20)) AS s FROM documents), w AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(s), '[a-z]+')) AS w FROM s),
-p AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: length(x) <= 3)) AS known FROM w) SELECT doc_id, count(*) AS claims, round(count(*) FILTER (WHERE known < 0.4 * n) / count(*), 4) AS unsupported FROM p GROUP BY 1""")
-def unsupported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of sentences whose words are mostly unknown (longer than three letters here)."""
-    sentences = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.split("text", r"\."), lambda x: F.length(F.trim(x)) > 20)).alias("s"))
-    w = sentences.select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit("[a-z]+"), 0)).alias("w"))
-    known = F.size(F.filter("w", lambda x: F.length(x) <= 3)) < 0.4 * F.size("w")
-    return w.groupBy("doc_id").agg(F.count("*").alias("claims"), F.round(F.count_if(known) / F.count("*"), 4).alias("unsupported"))
