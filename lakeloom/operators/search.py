@@ -59,6 +59,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", te
         def score(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             number, first, asks, idf, n_terms, names, mean = held.value
             best: list[list[tuple[float, int]]] = [[] for _ in names]  # at most a few k pairs of each question
+            floor = np.full(len(names), -np.inf)  # what a document must reach to be among a question's k best so far
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words = _words(text)
@@ -73,10 +74,11 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "doc_id", te
                     places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first[at], sizes)
                     sums = np.bincount(asks[places], weights=np.repeat(share, sizes), minlength=len(names))
                     hits = np.bincount(asks[places], minlength=len(names))
-                    for q in np.flatnonzero((hits > 0) & (hits >= n_terms) if every_term else hits > 0):
+                    for q in np.flatnonzero((hits >= n_terms if every_term else hits > 0) & (hits > 0) & (sums >= floor)):
                         best[q].append((-round(float(sums[q]), 5), doc))
-                        if len(best[q]) >= 4 * k + 64:
+                        if len(best[q]) >= 2 * k + 16:
                             best[q] = sorted(best[q])[:k]
+                            floor[q] = -best[q][-1][0] - 1e-5  # rounding to five places can't lift a lower sum to the k-th
             out = [(int(names[q]), d, -x) for q, pairs in enumerate(best) for x, d in sorted(pairs)[:k]]
             columns = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])

@@ -60,6 +60,11 @@ RELATIONS = {
     "goes_with": (rf"(?i)([A-Z][a-zA-Z \t\n\f\r]{{2,40}}){_S}+(?:pairs?{_S}+well{_S}+with|goes?{_S}+with){_S}+([A-Z][a-zA-Z \t\n\f\r]{{2,40}})", 0.75),
     "policy_covers": (rf"(?i)(return|shipping|warranty|refund){_S}+policy{_S}+covers?{_S}+([a-z][a-z \t\n\f\r,]{{2,60}})", 0.85),
 }
+#: Words that every mention of a relation has, each a cheap test of a whole text.
+WORDS = {
+    "is_a": rf"(?i){_S}is{_S}+a{_S}", "made_by": rf"(?i)[a-z \t\n\f\r]{_S}(?:by|from){_S}+[a-z]", "available_in": rf"(?i){_S}(?:comes?|available){_S}+in{_S}", "similar_to": rf"(?i)similar{_S}+to{_S}",
+    "variant_of": rf"(?i)variant{_S}+of{_S}", "goes_with": rf"(?i){_S}(?:pairs?{_S}+well|goes?){_S}+with{_S}", "policy_covers": rf"(?i)policy{_S}+covers?{_S}",
+}
 _TRIPLES_SQL = " UNION ALL ".join(
     f"SELECT '{name}' AS relation, unnest(regexp_extract_all(text, '{p}', 1)) AS subject, unnest(regexp_extract_all(text, '{p}', 2)) AS object, CAST({sure} AS DOUBLE) AS confidence FROM documents" for name, (p, sure) in RELATIONS.items()
 )
@@ -73,8 +78,10 @@ def relation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _triples(name: str, pattern: str, sure: float) -> Column:
-    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("s"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("o"))
-    return F.transform(pairs, lambda x: F.struct(F.lit(name).alias("relation"), _bare(x["s"]).alias("subject"), _bare(x["o"]).alias("object"), F.lit(sure).alias("confidence")))
+    """The triples of one relation; texts without its words are passed over at once, and each mention is split by itself."""
+    mentions = F.when(F.col("text").rlike(WORDS[name]), F.regexp_extract_all("text", F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
+    part = lambda m, i: _bare(F.regexp_extract(m, pattern, i))
+    return F.transform(mentions, lambda m: F.struct(F.lit(name).alias("relation"), part(m, 1).alias("subject"), part(m, 2).alias("object"), F.lit(sure).alias("confidence")))
 
 
 def _bare(x: Column) -> Column:
