@@ -33,3 +33,10 @@ def gate(told: DataFrame, limits: dict[str, float]) -> DataFrame:
     means = told.agg(F.count("*").alias("queries"), mean(F.coalesce("hit", F.lit(0))).alias("recall_at_k"), mean((c("n") == 0).cast("int")).alias("no_result_rate"), mean(F.coalesce("top", F.lit(0.0))).alias("avg_top_similarity"))
     broken = [F.when(c("no_result_rate") > limits["no_result_rate"] if k == "no_result_rate" else c(k) < v, k) for k, v in limits.items()]
     return means.withColumn("violations", F.filter(F.array(*broken), lambda x: x.isNotNull())).withColumn("passed", F.size("violations") == 0)
+
+
+def mean_scores(scores: DataFrame, by: str, dimensions: list[str], low: float = 5.0) -> DataFrame:
+    """Per group the rows, the mean of every dimension, the mean over all of them, and how many rows are below ``low``."""
+    overall = sum((F.col(d) for d in dimensions[1:]), F.col(dimensions[0])) / len(dimensions)
+    means = [F.round(F.avg(d), 4).alias(f"mean_{d}") for d in dimensions]
+    return scores.groupBy(by).agg(F.count("*").alias("n"), *means, F.round(F.avg(overall), 4).alias("mean_overall"), F.count_if(F.round(overall, 2) < low).alias("low_quality"))
