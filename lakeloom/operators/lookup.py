@@ -67,3 +67,54 @@ def cache_state(writes: DataFrame, key: str, at: str, order: str, kept: int = 10
     back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at), F.desc(order)))
     last = rows.join(lists, key).where(F.col(at) >= F.col("begin")).withColumn("back", back).where(F.col("back") <= kept)
     return last.groupBy(key).agg(F.count("*").alias("entries"), F.min(at).alias("oldest"), F.max(at).alias("newest"))
+
+
+def rerank(hits: DataFrame, score: Column, k: int) -> DataFrame:
+    """Each query's ``k`` hits of highest score, ranked anew; ties go to the smaller id.
+
+    ``score`` is any column expression over the hits: a model's, or the
+    similarity that they came with.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return hits.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def structured_context(content: Column) -> Column:
+    """The short context of a product's record: title, price with currency, availability; its first 400 characters where it has one of them at most."""
+    part = lambda pattern, i=1: F.nullif(F.trim(F.regexp_extract(content, pattern, i)), F.lit(""))
+    price = r"(?i)Price:\s*([\d,]+\.?\d*)\s*(BDT|USD|৳|\$)?"
+    amount = F.nullif(F.replace(part(price), F.lit(","), F.lit("")), F.lit(""))
+    fields = F.array_compact(F.array(
+        F.concat(F.lit("Product: "), part(r"(?m)Product:\s*(.+)$")), F.concat(F.lit("Price: "), amount, F.lit(" "), F.coalesce(part(price, 2), F.lit("BDT"))), F.concat(F.lit("Availability: "), part(r"(?m)Availability:\s*(.+)$")),
+    ))
+    return F.array_join(F.when(F.size(fields) <= 1, F.concat(fields, F.array(F.substring(F.coalesce(content, F.lit("")), 1, 400)))).otherwise(fields), "\n")
+
+
+# --- Fixed values: words that ask to compare, to recommend, and for what fits together.
+COMPARE, RECOMMEND, MATCH = ("vs", "versus", "compare", "difference", "better"), ("similar", "like", "recommend", "alternative", "other"), ("goes with", "pairs with", "compatible", "match")
+
+
+def reasoning_kind(text: Column, names: Column) -> Column:
+    """How the graph answers a question: none without entities, a comparison of two, a recommendation, compatibility, or what is related."""
+    has = lambda words: F.coalesce(F.lower(text).rlike("|".join(words)), F.lit(False))
+    return F.when(F.size(names) == 0, "none").when((F.size(names) >= 2) & has(COMPARE), "comparison").when(has(RECOMMEND), "recommendation").when(has(MATCH), "compatibility").otherwise("related")
+
+
+def safe_select(statement: Column, tables: list[str]) -> Column:
+    """Whether a statement is a SELECT without a changing verb that names only the given tables; false for null."""
+    named = F.transform(F.regexp_extract_all(statement, F.lit(r"(?i)\b(?:FROM|JOIN)\s+(\w+)"), 1), F.lower)
+    changing = statement.rlike(r"(?i)\b(DROP|DELETE|UPDATE|INSERT|ALTER|CREATE|TRUNCATE|EXEC|EXECUTE|GRANT|REVOKE)\b")
+    return F.coalesce(~changing & F.trim(statement).rlike("(?i)^SELECT") & F.forall(named, lambda t: t.isin(*(x.lower() for x in tables))), F.lit(False))
+
+
+def within_budget(steps: Column, costs: dict[str, int], budget: int, unknown: int = 3) -> Column:
+    """The steps, in order, that a budget pays for: one that costs more than is left is passed over."""
+    prices = F.create_map(*(F.lit(x) for pair in costs.items() for x in pair))
+    start = F.struct(F.lit(0).alias("spent"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, x: Column) -> Column:
+        after = state["spent"] + F.coalesce(F.try_element_at(prices, x), F.lit(unknown))
+        taken = F.struct(after.alias("spent"), F.concat(state["kept"], F.array(x)).alias("kept"))
+        return F.when(after <= budget, taken).otherwise(state)
+
+    return F.aggregate(steps, start, step, lambda s: s["kept"])

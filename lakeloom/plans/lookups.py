@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.scripts import ENDPOINTS, script_endpoints
 from lakeloom.operators.evaluate import mean_scores
-from lakeloom.operators.lookup import cache_state, contained, entities, search_terms, substrings
+from lakeloom.operators.graph import reach
+from lakeloom.operators.lookup import cache_state, contained, entities, reasoning_kind, rerank, search_terms, structured_context, substrings
+from lakeloom.operators.search import bm25
+from lakeloom.plans.knowledge import record_texts
 from lakeloom.plans.products import COMPLETENESS_SQL, PRIORITY_SQL, fused_fields, scored
 from lakeloom.plans.registry import query, table
-from lakeloom.plans.retrieval import PAIRS_SQL, product_top_k
+from lakeloom.plans.retrieval import BM25_SQL, PAIRS_SQL, benchmark_queries, product_top_k
 
 #: Words of a question that are not looked for in addresses.
 STOP = ("show", "me", "the", "what", "is", "are", "this", "does", "how", "give", "all", "for", "do", "you", "a", "an", "in")
@@ -190,3 +193,61 @@ _CALLS = " || ".join("regexp_extract_all(html, '" + p.replace("'", "''") + "', 1
 def called_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many addresses each page's scripts call (those of the bundled pages call none)."""
     return table(spark, sf_dir, "pages").select("page_id", F.size(script_endpoints(F.col("html"), F.col("url"))).cast("long").alias("endpoints"))
+
+
+_BELONGS_SQL = """e AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b, 'belongs_to' AS kind FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey, 'belongs_to' FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'belongs_to' FROM nation
+UNION SELECT 'p' || l_partkey, 's' || l_suppkey, 'offered_by' FROM lineitem)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, kind): customers and suppliers belong to nations, nations to regions, and products are offered by suppliers."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    link = lambda t, x, a, y, b, kind: table(spark, sf_dir, t).select(name(x, a).alias("a"), name(y, b).alias("b"), F.lit(kind).alias("kind"))
+    belongs = link("customer", "c", "c_custkey", "n", "c_nationkey", "belongs_to").unionByName(link("supplier", "s", "s_suppkey", "n", "s_nationkey", "belongs_to")).unionByName(link("nation", "n", "n_nationkey", "r", "n_regionkey", "belongs_to"))
+    return belongs.unionByName(link("lineitem", "p", "l_partkey", "s", "l_suppkey", "offered_by")).distinct()
+
+
+def _walk_sql(kind: str, depth: int) -> str:
+    return f"""WITH RECURSIVE {_BELONGS_SQL}, h AS (SELECT DISTINCT a AS seed, a AS node, 0 AS hops FROM e WHERE CAST(substr(a, 2) AS BIGINT) % 100 = 0 UNION SELECT seed, b, hops + 1 FROM h JOIN e ON a = node WHERE {kind} AND hops < {depth})
+SELECT seed, node, min(hops) AS hops FROM h WHERE hops > 0 GROUP BY 1, 2"""
+
+
+def _walk(links: DataFrame, kind: str | None, depth: int) -> DataFrame:
+    seeds = links.where(F.substring("a", 2, 20).cast("long") % 100 == 0).select(F.col("a").alias("seed"), F.col("a").alias("node"))
+    return reach(links.where(F.col("kind") == kind) if kind else links, seeds, depth).where("hops > 0")
+
+
+@query(_walk_sql("kind = 'belongs_to'", 2))
+def typed_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where links of one kind lead in two directed steps from each node whose number is divisible by 100."""
+    return _walk(_links(spark, sf_dir), "belongs_to", 2)
+
+
+@query(_walk_sql("true", 3))
+def directed_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where links of any kind lead in three directed steps from each node whose number is divisible by 100."""
+    return _walk(_links(spark, sf_dir), None, 3)
+
+
+@query(f"""WITH {BM25_SQL}, h AS (SELECT query_id, id, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(left(x.text, 400)), '[a-z0-9]+')) AS b FROM k JOIN benchmark q ON item_id = query_id JOIN documents x ON doc_id = id WHERE rank <= 20),
+z AS (SELECT query_id, id, round(len(list_intersect(a, b)) / greatest(len(list_distinct(a || b)), 1), 6) AS score FROM h) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM z) WHERE rank <= 5""")
+def reranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five of twenty keyword hits whose beginning (400 characters) shares most words with the question."""
+    questions, docs = benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0))
+    hits = bm25(questions, docs, 20).select("query_id", "id").join(questions.select("query_id", words("text").alias("a")), "query_id")
+    hits = hits.join(docs.select(F.col("doc_id").alias("id"), words(F.substring("text", 1, 400)).alias("b")), "id")
+    score = F.round(F.size(F.array_intersect("a", "b")) / F.greatest(F.size(F.array_union("a", "b")), F.lit(1)), 6)
+    return rerank(hits, score, 5).select("query_id", "rank", "id", "score")
+
+
+@query("SELECT p_partkey, 'Product: ' || p_name || chr(10) || 'Price: ' || printf('%.2f', p_retailprice) || ' BDT' AS context FROM part SEMI JOIN lineitem ON l_partkey = p_partkey")
+def structured_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short context made of the fields of every product's record text."""
+    return record_texts(spark, sf_dir).select("p_partkey", structured_context(F.col("content")).alias("context"))
+
+
+@query()
+def reasoning_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the graph would answer every message."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", reasoning_kind(F.col("text"), entities(F.col("text"))).alias("kind"))

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lakeloom.functions.scripts import script_endpoints
-from lakeloom.operators.lookup import NOISE, cache_state, contained, entities, search_terms
+from lakeloom.operators.lookup import COMPARE, MATCH, NOISE, RECOMMEND, cache_state, contained, entities, reasoning_kind, rerank, safe_select, search_terms, structured_context, within_budget
 from lakeloom.plans.lookups import comparison_contexts  # noqa: F401  (the module registers its queries)
 
 TEXTS = [None, "", "a", "Is the Red Shirt in stock? red shirt, Blue  Cap!", "Anéan Foo Bané Foo.Bar FOO foo The An", "What is the price of OnePlus and Nokia and Sony and Acer and Dell and Asus?", "x " * 50]
@@ -59,3 +59,39 @@ def test_script_endpoints(spark):
     got = {r.i: r.e for r in rows.select("i", script_endpoints(F.col("s"), F.col("u")).alias("e")).collect()}
     assert got[0] == ["https://a.example/api/cart", "https://a.example/api/items/list", "https://c.example/api/stock", "https://a.example/shop/data/all.json"]
     assert got[1] == [] and got[2] == ["https://a.example/data/b.json"]
+
+
+def test_rerank(spark):
+    hits = spark.createDataFrame([(1, 5, 0.5), (1, 4, 0.5), (1, 3, 0.9), (2, 9, None)], "query_id int, id int, s double")
+    assert sorted((r.query_id, r["rank"], r.id) for r in rerank(hits, F.col("s"), 2).collect()) == [(1, 1, 3), (1, 2, 4), (2, 1, 9)]
+
+
+def test_structured_context(spark):
+    contents = ["Product: Red Shirt\nPrice: 1,390.50 USD\nAvailability: In Stock", "Price: 20", "x" * 500, "", None]
+    rows = spark.createDataFrame(list(enumerate(contents)), "i int, c string").select("i", structured_context(F.col("c")).alias("x")).collect()
+    assert {r.i: r.x for r in rows} == {0: "Product: Red Shirt\nPrice: 1390.50 USD\nAvailability: In Stock", 1: "Price: 20 BDT\nPrice: 20", 2: "x" * 400, 3: "", 4: ""}
+
+
+def test_reasoning_kind(spark):
+    def plain(text):
+        t, n = (text or "").lower(), len(plain_entities(text))
+        has = lambda words: any(w in t for w in words)
+        return "none" if not n else "comparison" if n >= 2 and has(COMPARE) else "recommendation" if has(RECOMMEND) else "compatibility" if has(MATCH) else "related"
+
+    texts = [*TEXTS, "Compare Nokia, Sony", "Which is like Nokia?", "Nokia pairs with", "compare them"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("text").collect()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", reasoning_kind(F.col("t"), entities(F.col("t"))).alias("k")).collect()
+    assert all(r.k == plain(texts[r.i]) for r in rows) and len({r.k for r in rows}) == 5
+
+
+def test_safe_select(spark):
+    given = {"SELECT a FROM pages": True, " select 1": True, "SELECT a FROM pages JOIN users ON x": False, "DROP TABLE pages": False, "SELECT 1; delete from pages": False, "SELECT updated FROM Pages": True, "": False, None: False}
+    rows = spark.createDataFrame([(x,) for x in given], "s string").select("s", safe_select(F.col("s"), ["pages"]).alias("ok")).collect()
+    assert {r.s: r.ok for r in rows} == given
+
+
+def test_within_budget(spark):
+    costs = {"a": 1, "b": 2, "n": 3, "r": 5}
+    rows = spark.createDataFrame([(0, ["a", "b", "a", "n", "r", "b"]), (1, []), (2, None), (3, ["r", "x", "r", "n", "a"])], "i int, s array<string>")
+    got = {r.i: r.k for r in rows.select("i", within_budget(F.col("s"), costs, 9).alias("k")).collect()}
+    assert got == {0: ["a", "b", "a", "n", "b"], 1: [], 2: None, 3: ["r", "x", "a"]}
