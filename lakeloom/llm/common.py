@@ -78,6 +78,22 @@ def bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_few(rows: DataFrame, few: DataFrame, on: list[str], copies: int, spread: str = "doc_id") -> DataFrame:
+    """Left join of ``rows`` with ``few``, which has one row for each key that is in more than ``copies`` of them.
+
+    ``few`` is broadcast if a count proves it small; otherwise both sides are
+    salted ``copies`` ways by the column ``spread``, so ``few`` grows to at most
+    as many rows as ``rows`` has and no key stays whole.
+    """
+    few = materialise(few, "few")
+    hinted = bounded(few)
+    if hinted is not few:
+        return rows.join(hinted, on, "left")
+    salt = F.pmod(F.xxhash64(spread), F.lit(copies))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))
+    return rows.withColumn("salt", salt).join(few.withColumn("salt", salts), [*on, "salt"], "left").drop("salt")
+
+
 #: Rows of one Arrow batch on its way to Python and back: texts are long, and a batch is held several times over.
 BATCH_ROWS = 2_000
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import bounded, map_texts, materialise, mix64, shingle_hashes, tidy
+from lakeloom.llm.common import bounded, join_few, map_texts, materialise, mix64, shingle_hashes, tidy
 from lakeloom.llm.components import connected_components
 from lakeloom.llm.subword_classifier import text_slices
 
@@ -227,21 +227,6 @@ def _open_groups(percent: int):
     return run
 
 
-def join_few(rows: DataFrame, few: DataFrame, on: list[str], copies: int) -> DataFrame:
-    """Left join of ``rows`` with ``few``, which has one row for each key that is in more than ``copies`` of them.
-
-    ``few`` is broadcast if a count proves it small; otherwise both sides are
-    salted ``copies`` ways, so ``few`` grows to at most as many rows as ``rows``
-    has and no key stays whole.
-    """
-    few = materialise(few, "few")
-    hinted = bounded(few)
-    if hinted is not few:
-        return rows.join(hinted, on, "left")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(copies))
-    return rows.withColumn("salt", salt).join(few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))), [*on, "salt"], "left").drop("salt")
-
-
 def jaccard_components(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of (doc_id, text)."""
     profiles = materialise(shingle_profiles(docs, frequency_levels(docs, config), config), "profiles")

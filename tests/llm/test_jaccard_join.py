@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from lakeloom.llm import common
 from lakeloom.llm.components import connected_components
 from lakeloom.llm.jaccard_join import Config, jaccard_components
 
@@ -69,3 +70,15 @@ def test_components(spark):
     random.Random(0).shuffle(edges)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100, 150: 150, 200: 150}
+
+
+@pytest.mark.parametrize("proven", [True, False])
+def test_components_with_hot_centres(spark, monkeypatch, proven):
+    if not proven:  # the other way, for more hot nodes than may be broadcast
+        monkeypatch.setattr(common, "bounded", lambda df: df)
+    edges = [(500, i) for i in range(60)] + [(600, 1000 + i) for i in range(60)] + [(2000, 3000 + i) for i in range(30)] + [(3005, 1005), (7000, 7001)]
+    random.Random(1).shuffle(edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), hot=8).collect()}
+    want = {**dict.fromkeys([*range(60), 500], 0), 7000: 7000, 7001: 7000}
+    want |= dict.fromkeys([600, 2000, *range(1000, 1060), *range(3000, 3030)], 600)
+    assert got == want
