@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.plans.registry import query, table
+from lakeloom.session import shared_folder
 from lakeloom.sources.files import latest_state
 from lakeloom.streaming.state import anchored_counts, meter, run_meters
 
@@ -55,11 +56,7 @@ def meters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(METER_SQL)
 def streamed_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same meters kept by a stream over the same files."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        spark.sparkContext.setCheckpointDir(f"file:///tmp/spark-shared-{uuid.uuid4().hex}")
-        shared = spark.sparkContext.getCheckpointDir()
-    return run_meters(spark, sf_dir, f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    return run_meters(spark, sf_dir, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query("""SELECT CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'purge' WHEN ts < TIMESTAMP '2024-01-20' THEN 'archive' ELSE 'keep' END AS action, count(*) AS n, min(ts) AS first_seen FROM events GROUP BY 1""")

@@ -26,6 +26,14 @@ def test_anchored_windows(events):
     assert {r.event_id: r.in_window for r in anchored_counts(events, 300).collect()} == WANT
 
 
+def test_anchored_windows_of_nulls_and_ties(spark, events):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(3, 200, None), (3, 201, at), (3, 202, at), (None, 203, at), (None, 204, None)]
+    more = events.unionByName(spark.createDataFrame(rows, events.schema))
+    assert {r.event_id: r.in_window for r in anchored_counts(more, 300).collect()} == WANT | {200: None, 201: 1, 202: 2, 203: 1, 204: None}
+    assert anchored_counts(more.limit(0), 300).count() == 0
+
+
 def test_anchored_stream(spark, events, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
 
