@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm.jaccard_join import JOIN_SQL
+from lakeloom.llm.merkle import MANIFEST_SQL
+from lakeloom.llm.periodic_runs import RUNS_SQL
 from lakeloom.llm.quality_rules import JUDGE_SQL
 
 
@@ -108,6 +110,27 @@ def op10_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, lexicon).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, a third of them tampered with and climbed again."""
+    from lakeloom.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their components at three differing bits."""
+    from lakeloom.llm.covering_simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in all documents, and the hashes of the texts without the repeats."""
+    from lakeloom.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_separator_scan": op1_separator_scan,
     "op2_subword_quality": op2_subword_quality,
@@ -119,6 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney_language": op8_kneser_ney_language,
     "op9_cost_balanced_packing": op9_cost_balanced_packing,
     "op10_toxic_lexicon": op10_toxic_lexicon,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_covering_simhash": op12_covering_simhash,
+    "op13_lyndon_runs": op13_lyndon_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_token_group_join": JOIN_SQL, "op5_host_rules": JUDGE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_token_group_join": JOIN_SQL, "op5_host_rules": JUDGE_SQL, "op11_merkle_manifest": MANIFEST_SQL, "op13_lyndon_runs": RUNS_SQL}
