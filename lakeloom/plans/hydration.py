@@ -30,10 +30,10 @@ def pages_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(""))
     )
     own = part.select("p_partkey", product.alias("product"))
-    return pages.join(own, F.pmod("page_id", F.lit(200)) + 1 == F.col("p_partkey")).select("page_id", F.concat("html", state).alias("html"))
+    return pages.join(own, F.pmod("page_id", F.lit(200)) == F.col("p_partkey")).select("page_id", F.concat("html", state).alias("html"))
 
 
-@query("""WITH p AS (SELECT page_id, page_id % 6 AS kind, (page_id // 6) % 11 AS deep, part.* FROM pages JOIN part ON page_id % 200 + 1 = p_partkey), f AS (SELECT *, kind < 5 AND (kind <> 3 OR deep <= 8) AS found, p_size % 4 AS n FROM p)
+@query("""WITH p AS (SELECT page_id, page_id % 6 AS kind, (page_id // 6) % 11 AS deep, part.* FROM pages JOIN part ON page_id % 200 = p_partkey), f AS (SELECT *, kind < 5 AND (kind <> 3 OR deep <= 8) AS found, p_size % 4 AS n FROM p)
 SELECT page_id, CASE WHEN found THEN ['nextjs', 'nuxt', 'shopify_theme', 'generic_state', 'embedded_json'][kind + 1] END AS state, CAST(CASE WHEN NOT found THEN 0 WHEN n > 0 THEN 5 + 2 * n ELSE 4 END AS INTEGER) AS richness, CASE WHEN found THEN p_name END AS title,
 CASE WHEN found THEN p_brand END AS brand, CASE WHEN found THEN p_type END AS product_type, CASE WHEN found THEN p_retailprice END AS price, CASE WHEN found AND n > 0 THEN array_to_string(list_transform(range(1, n + 1), lambda i: p_partkey || '-' || i || ':' || i), ',') END AS variants FROM f""")
 def hydrated_products(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import vocabulary as V
+from lakeloom.operators.inverted_file import build, search
 from lakeloom.operators.search import bm25, hashed_vectors, merge_hits, postings, reciprocal_rank_fusion
 from lakeloom.operators.vector import cosine_top_k
 from lakeloom.plans.registry import query, table
@@ -27,6 +28,20 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_top_k(*vectors(spark, sf_dir), k=10)
 
 
+@query()
+def indexed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar rows of every query among its 40 nearest of 100 k-means lists."""
+    asked, rows = vectors(spark, sf_dir)
+    return search(build(rows), asked, k=10, probes=40)
+
+
+@query(f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p) SELECT query_id, rank, id, similarity FROM r WHERE rank <= 10")
+def all_lists_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with all lists opened: exact."""
+    asked, rows = vectors(spark, sf_dir)
+    return search(build(rows, lists=16, rounds=3), asked, k=10, probes=16)
+
+
 @query(f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p WHERE similarity >= 0.35) SELECT query_id, rank, id, similarity FROM r WHERE rank <= 20")
 def product_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to twenty rows above a similarity threshold."""
