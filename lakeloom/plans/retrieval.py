@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions import vocabulary as V
 from lakeloom.operators.inverted_file import build, search
 from lakeloom.operators.search import bm25, hashed_vectors, merge_hits, postings, reciprocal_rank_fusion
+from lakeloom.operators.stemming import stemmed
 from lakeloom.operators.vector import cosine_top_k
 from lakeloom.plans.registry import query, table
 
@@ -102,6 +103,18 @@ def all_terms_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 10, every_term=True)
 
 
+@query()
+def stemmed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents that hold a form of every word of a benchmark item, stop words aside."""
+    return bm25(stemmed(benchmark_queries(spark, sf_dir), "query_id", "text"), stemmed(table(spark, sf_dir, "documents"), "doc_id", "text"), 10, every_term=True)
+
+
+@query()
+def looked_up_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best documents that hold a form of each of an item's first four words."""
+    return bm25(stemmed(benchmark_queries(spark, sf_dir), "query_id", "text", first=4), stemmed(table(spark, sf_dir, "documents"), "doc_id", "text"), 3, every_term=True)
+
+
 @query(f"""WITH {BM25_SQL}, {AND_SQL}, {HASHED_SQL}, x AS (SELECT query_id, id, similarity, 'vector' AS channel FROM v WHERE similarity >= 0.35 AND rank <= 5), y AS (SELECT query_id, id, round(score / (score + 10), 6) AS similarity, 'keyword' AS channel FROM w WHERE place <= 10),
 m AS (SELECT query_id, count(*) AS more FROM y GROUP BY 1), z AS (SELECT * FROM x UNION ALL SELECT * FROM y ANTI JOIN x USING (query_id, id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM z)
 SELECT query_id, rank, id, similarity, channel FROM r LEFT JOIN m USING (query_id) WHERE rank <= 5 + coalesce(more, 0)""")
