@@ -4,13 +4,15 @@ Leaves are hashed where the documents lie; only digests are shuffled.  Their
 places within a language come from one range partitioning and the partitions'
 counts, so no language is gathered in one task.  Every eight consecutive nodes
 become their parent, level by level; a node row names its parent and keeps its
-children's digests.  The climb is a recursive CTE over those rows: a row per leaf
-that joins its parent, appends the siblings and folds the (tampered) digest.
+children's digests.  The climb is a recursive CTE over those rows that joins the
+parent, appends the siblings and folds the (tampered) digest of every leaf.  Up to
+eight leaves of a run have one path beyond their first step, so they climb as one
+row: the siblings on it are appended once, the digests are folded leaf by leaf.
 
 Upper nodes have all leaves below them.  Each node row is therefore stored once
-for each block of 64 leaves below it, and a leaf joins the row of its own block:
-a key of the climb's join has at most 64 leaves at any height, and a level above
-the second has one small row for each block.
+for each block of 512 leaves below it, and a run joins the row of its own block:
+a key of the climb's join has at most 64 runs at any height, and a level above
+the third has one small row for each block.
 
 Defined results: null fields hash as ``-``; an empty text is ``0:``; a null
 language is a language of its own, the first; null ids come first in their
@@ -32,7 +34,7 @@ from lakeloom.llm.common import bounded, join_few, materialise
 
 #: Children of a node, and leaves of a block (a power of it).
 FAN = 8
-BLOCK = 64
+BLOCK = 512
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,17 +90,20 @@ def _joined(digests: Column) -> Column:
     return F.concat_ws("", F.transform(digests, lambda d: F.lower(F.hex(d))))
 
 
-def build_levels(leaves: DataFrame, most: int) -> tuple[list[DataFrame], DataFrame]:
-    """Stored levels above (tree, n, idx, digest), each with children, and (tree, digest) of the trees' roots.
+def build_levels(level: DataFrame, height: int, most: int) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
+    """Stored levels above (tree, n, idx, digest), by height and with children, and (tree, digest) of the trees' roots.
 
-    ``n`` is the tree's number of leaves, ``most`` the largest.  A level has an
-    eighth of the rows of the one below, so there are few, whatever ``most`` is.
+    ``n`` is the tree's number of leaves, ``most`` the largest, ``height`` that of
+    the given level.  A level has an eighth of the rows of the one below, so there
+    are few, whatever ``most`` is.
     """
-    level, levels, roots = leaves, [], leaves.where("n = 1").select("tree", "digest")
-    while FAN ** len(levels) < most:
-        level = materialise(_parents(level.where(F.col("n") > FAN ** len(levels))), f"level-{len(levels) + 1}")
-        levels.append(level)
-        roots = roots.unionByName(level.where(F.col("n") <= FAN ** len(levels)).select("tree", "digest"))
+    levels, ended = [], lambda rows, k: rows.where(F.col("n") <= FAN**k).select("tree", "digest")
+    roots = ended(level, height)
+    while FAN**height < most:
+        level = materialise(_parents(level.where(F.col("n") > FAN**height)), f"level-{height + 1}")
+        height += 1
+        levels.append((height, level))
+        roots = roots.unionByName(ended(level, height))
     return levels, materialise(roots, "roots")
 
 
@@ -106,14 +111,14 @@ def _name(tree: Column, level: int, idx: Column) -> Column:
     return F.concat_ws("/", tree.cast("string"), F.lit(str(level)), idx.cast("string"))
 
 
-def node_rows(levels: list[DataFrame], tops: list[DataFrame], trees: DataFrame) -> DataFrame:
+def node_rows(levels: list[tuple[int, DataFrame]], tops: list[tuple[int, DataFrame]], trees: DataFrame) -> DataFrame:
     """(block, node, parent, slot, children): the stored nodes, each once for every block of leaves below it.
 
     ``parent`` is null at the root and ``slot`` the node's place among its
     siblings; ``trees`` has (tree, n).
     """
     rows = []
-    for k, level in enumerate(levels, 1):
+    for k, level in levels:
         per = FAN**k  # leaves below a full node
         low = F.floor(F.col("idx") * per / BLOCK) if per < BLOCK else F.col("idx") * (per // BLOCK)
         last = F.floor((F.col("n") - 1) / BLOCK).cast("long")
@@ -124,7 +129,7 @@ def node_rows(levels: list[DataFrame], tops: list[DataFrame], trees: DataFrame)
             up = F.coalesce(up, _name(F.lit(TOP), 1, F.shiftright("tree", 3)))
         slot = F.when(root, F.col("tree") % FAN).otherwise(F.col("idx") % FAN)
         rows.append(level.select(F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("at"), "tree", _name(F.col("tree"), k, F.col("idx")).alias("node"), up.alias("parent"), slot.alias("slot"), "children"))
-    for k, level in enumerate(tops, 1):
+    for k, level in tops:
         mine = trees.select("tree", "n", F.shiftright("tree", 3 * k).alias("idx"))
         up = F.lit(None).cast("string") if k == len(tops) else _name(F.lit(TOP), k + 1, F.shiftright("idx", 3))
         blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK).cast("long")))
@@ -135,23 +140,23 @@ def node_rows(levels: list[DataFrame], tops: list[DataFrame], trees: DataFrame)
     return out.select(F.concat_ws("/", "tree", "at").alias("block"), "node", "parent", "slot", "children")
 
 
-#: The climb.  A row stands at ``parent``, the node above what it has folded so far.
+#: The climb.  A row, a run of leaves, stands at ``parent``, the node above what it has folded so far.
 CLIMB_SQL = """
-WITH RECURSIVE climb (leaf_id, doc_id, tree, leaf, block, parent, slot, folded, proof) AS (
-  SELECT leaf_id, doc_id, tree, leaf, block, parent, slot, given, CAST(X'' AS BINARY) FROM {leaves}
+WITH RECURSIVE climb (tree, idx, block, parent, slot, folded, proof) AS (
+  SELECT tree, idx, block, parent, slot, folded, CAST(X'' AS BINARY) FROM {runs}
   UNION ALL
-  SELECT c.leaf_id, c.doc_id, c.tree, c.leaf, c.block, n.parent, n.slot,
-         unhex(sha2(concat_ws('', transform(n.children, (d, i) -> lower(hex(if(i = c.slot, c.folded, d))))), 256)),
+  SELECT c.tree, c.idx, c.block, n.parent, n.slot,
+         transform(c.folded, own -> unhex(sha2(concat_ws('', transform(n.children, (d, i) -> lower(hex(if(i = c.slot, own, d))))), 256))),
          concat(c.proof, unhex(concat_ws('', transform(filter(n.children, (d, i) -> i <> c.slot), d -> hex(d)))))
   FROM climb c JOIN {nodes} n ON n.block = c.block AND n.node = c.parent
 )
-SELECT doc_id, tree, lower(hex(leaf)) AS leaf, sha2(lower(hex(proof)), 256) AS proof_sha256, lower(hex(folded)) AS folded_root FROM climb WHERE parent IS NULL
+SELECT tree, idx, folded, proof FROM climb WHERE parent IS NULL
 """
 
 
 @contextlib.contextmanager
 def _recursion_unbounded(spark: SparkSession) -> Iterator[None]:
-    """The recursive query makes a row for each leaf and level; Spark stops at a million rows by default."""
+    """The recursive query makes a row for each run and level; Spark stops at a million rows by default."""
     key = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "-1")
@@ -171,27 +176,37 @@ def manifest(docs: DataFrame) -> DataFrame:
     trees = materialise(ordered.select("lang", "tree", "n"), "trees")
     how_many = trees.count()
     told = bounded(trees.select(F.col("lang").alias("own_lang"), "tree", "n"))
-    leaves = materialise(placed.join(told, F.col("lang").eqNullSafe(F.col("own_lang"))).select("doc_id", "leaf", "given", "tree", "idx", "n"), "placed")
-
-    levels, subroots = build_levels(leaves.select("tree", "n", "idx", F.col("leaf").alias("digest")), trees.agg(F.max("n")).first()[0] or 0)
-    tops: list[DataFrame] = []
+    leaves = placed.join(told, F.col("lang").eqNullSafe(F.col("own_lang"))).select("doc_id", "leaf", "given", "tree", "idx", "n")
+    several = leaves.groupBy("tree", "n", F.shiftright("idx", 3).alias("run")).agg(F.sort_array(F.collect_list(F.struct("idx", "leaf", "given", "doc_id"))).alias("leaves")).withColumnRenamed("run", "idx")
+    runs = materialise(several, "runs")
+    children = F.transform("leaves", lambda x: x["leaf"])
+    first = runs.select("tree", "n", "idx", F.when(F.col("n") > 1, _digest(_joined(children))).otherwise(F.col("leaves")[0]["leaf"]).alias("digest"))
+
+    levels, subroots = build_levels(first, 1, trees.agg(F.max("n")).first()[0] or 0)
+    tops: list[tuple[int, DataFrame]] = []
     roots = subroots
     if how_many > 1:
-        tops, roots = build_levels(subroots.select(F.lit(TOP).alias("tree"), F.lit(how_many).alias("n"), F.col("tree").alias("idx"), "digest"), how_many)
+        tops, roots = build_levels(subroots.select(F.lit(TOP).alias("tree"), F.lit(how_many).alias("n"), F.col("tree").alias("idx"), "digest"), 0, how_many)
     root = roots.select(F.lower(F.hex("digest"))).first()
-    up = F.when(F.col("n") > 1, _name(F.col("tree"), 1, F.shiftright("idx", 3)))
+    up = F.when(F.col("n") > FAN, _name(F.col("tree"), 2, F.shiftright("idx", 3)))
     if tops:
         up = F.coalesce(up, _name(F.lit(TOP), 1, F.shiftright("tree", 3)))
-    slot = F.when(F.col("n") > 1, F.col("idx") % FAN).otherwise(F.col("tree") % FAN)
-    block = F.concat_ws("/", "tree", F.shiftright("idx", BLOCK.bit_length() - 1))
-    start = leaves.select(F.concat_ws("/", "tree", "idx").alias("leaf_id"), "doc_id", "tree", "leaf", "given", block.alias("block"), up.alias("parent"), slot.alias("slot"))
+    slot = F.when(F.col("n") > FAN, F.col("idx") % FAN).otherwise(F.col("tree") % FAN)
+    block = F.concat_ws("/", "tree", F.floor(F.col("idx") * FAN / BLOCK))
+    parent = lambda own, at: _digest(_joined(F.transform(children, lambda d, i: F.when(i == at, own).otherwise(d))))
+    folded = F.when(F.col("n") > 1, F.transform("leaves", lambda x, at: parent(x["given"], at))).otherwise(F.transform("leaves", lambda x: x["given"]))
+    start = runs.select("tree", "idx", block.alias("block"), up.alias("parent"), slot.alias("slot"), folded.alias("folded"))
     if levels or tops:
         nodes = materialise(node_rows(levels, tops, trees), "nodes")
     else:
-        nodes = start.limit(0).select("block", F.col("parent").alias("node"), "parent", "slot", F.array("leaf").alias("children"))
+        nodes = start.limit(0).select("block", F.col("parent").alias("node"), "parent", "slot", F.col("folded").alias("children"))
     with _recursion_unbounded(spark):
-        climbed = materialise(spark.sql(CLIMB_SQL, leaves=start, nodes=nodes), "climbed")
-    told = join_few(climbed, subroots.select("tree", F.lower(F.hex("digest")).alias("subroot")), ["tree"], 512)
+        climbed = materialise(spark.sql(CLIMB_SQL, runs=start, nodes=nodes), "climbed")
+    own = F.posexplode("leaves").alias("at", "x")
+    rows = runs.join(climbed, ["tree", "idx"]).select("tree", "n", "leaves", "folded", "proof", own)
+    others = F.when(F.col("n") > 1, _joined(F.transform(F.filter("leaves", lambda _, i: i != F.col("at")), lambda x: x["leaf"]))).otherwise(F.lit(""))
+    rows = rows.select("tree", F.col("x.doc_id").alias("doc_id"), F.lower(F.hex("x.leaf")).alias("leaf"), F.sha2(F.concat(others, F.lower(F.hex("proof"))), 256).alias("proof_sha256"), F.lower(F.hex(F.get("folded", F.col("at")))).alias("folded_root"))
+    told = join_few(rows, subroots.select("tree", F.lower(F.hex("digest")).alias("subroot")), ["tree"], 512)
     whole = F.lit(root[0] if root else None).cast("string")
     return told.select("doc_id", "leaf", "subroot", whole.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == whole).alias("verified"))
 
