@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import planning as P
+from lakeloom.operators.product_graph import BELONGS_TO, MADE_BY, MENTIONED_WITH, NAME, NAME_CHARS, NAMES, edges, names, nodes
+from lakeloom.operators.sharing import sharing_counts
 from lakeloom.plans.registry import alias, query, table
 from lakeloom.plans.texts import any_sql
 
@@ -88,27 +90,66 @@ def variant_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.select("l_partkey", F.size(F.array_intersect("a", "b")).alias("both_sides"), F.size(F.array_except("a", "b")).alias("only_first"), F.size(F.array_except("b", "a")).alias("only_second"))
 
 
-@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}')) AS w FROM documents)
+@query("""WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)
 SELECT item_id, count(*) AS documents FROM q JOIN d ON len(list_intersect(q.w, d.w)) > 0 GROUP BY 1""")
 def documents_sharing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share a long word with each benchmark item: a join by word, not of all pairs."""
-    words = lambda t, i: table(spark, sf_dir, t).select(i, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0))).alias("w"))
-    return words("benchmark", "item_id").join(words("documents", "doc_id"), "w").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("documents"))
+    """How many documents share a word, of any length, with each benchmark item."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return sharing_counts(asked, table(spark, sf_dir, "documents")).withColumnRenamed("id", "item_id")
 
 
-@query("""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}'))) AS entity FROM documents)
-SELECT a.entity AS a, b.entity AS b, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) > 1""")
+# Letters that aren't ASCII become digits first, as DuckDB ends words at them.
+_PLAIN = "regexp_replace({0}, '[^\\x00-\\x7F\\P{{L}}]|[^\\x00-\\x7F\\P{{N}}]', '0', 'g')"
+_NAMES = f"list_filter(regexp_extract_all({_PLAIN.format('text')}, '{NAME}'), lambda x: length(x) > {NAME_CHARS})"
+
+
+@query(f"""WITH m AS (SELECT doc_id, unnest(list_distinct({_NAMES})) AS entity FROM documents)
+SELECT a.entity AS a, b.entity AS b, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2""")
 def co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between all names that several documents mention together, however frequent.
+    """Edges between all names that documents mention together, however frequent.
 
     Documents with the same names are counted first; a document's pairs come
     from its own list, so that nothing is joined on a name.
     """
-    names = F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), 0)))
-    classes = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(names.alias("names")).where("size(names) > 1").groupBy("names").agg(F.count("*").alias("n"))
+    found = F.sort_array(F.array_distinct(names(F.col("text"))))
+    classes = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(found.alias("names")).where("size(names) > 1").groupBy("names").agg(F.count("*").alias("n"))
     first = classes.select("names", "n", F.posexplode("names").alias("i", "a"))
     pairs = first.select("n", "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("weight")).where("weight > 1")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("weight"))
 
 
 alias("all_co_mentions", co_mentions)
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as chunks: a sixth has each kind, titles are their first words, sources and languages stand for brands and categories."""
+    kind = F.element_at(F.array(*map(F.lit, ("faq", "documentation", "text", "product", "table", "text"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    title = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.array_join(F.slice(F.split("text", " "), 1, 2), " "))
+    category = F.when(F.col("doc_id") % 5 == 0, "page").otherwise(F.col("lang"))
+    content = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" Our Return Policy: Red Boxer Combo, Apache License."))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), title.alias("title"), F.col("source").alias("brand"), category.alias("product_type"), kind.alias("chunk_type"), F.concat_ws("/", F.lit("doc"), "doc_id").alias("url"), content.alias("content"))
+
+
+_ID = lambda x, kind: f"'{kind}:' || regexp_replace(lower(trim({x})), '[^a-z0-9]', '_', 'g')"
+CHUNKS_SQL = f"""c AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE array_to_string(string_split(text, ' ')[1:2], ' ') END AS title, source AS brand, CASE WHEN doc_id % 5 = 0 THEN 'page' ELSE lang END AS product_type,
+['faq', 'documentation', 'text', 'product', 'table', 'text'][doc_id % 6 + 1] AS chunk_type, 'doc/' || doc_id AS url, CASE WHEN doc_id % 7 = 0 THEN text || ' Our Return Policy: Red Boxer Combo, Apache License.' ELSE text END AS text FROM documents),
+m AS (SELECT chunk_id, title, unnest(ns) AS name, unnest(range(len(ns))) AS i FROM (SELECT chunk_id, title, {_NAMES}[1:{NAMES}] AS ns FROM c WHERE title <> '')), mm AS (SELECT * FROM m WHERE lower(name) <> lower(title))"""
+
+
+@query(f"""WITH {CHUNKS_SQL}, n AS (SELECT {_ID("title", "product")} AS node_id, 'product' AS kind, title AS label, url, chunk_id, 0 AS step FROM c WHERE title <> '' UNION ALL SELECT {_ID("brand", "brand")}, 'brand', brand, NULL, chunk_id, 1 FROM c WHERE title <> '' AND brand <> ''
+UNION ALL SELECT {_ID("product_type", "category")}, 'category', product_type, NULL, chunk_id, 2 FROM c WHERE title <> '' AND product_type NOT IN ('', 'product', 'page') UNION ALL SELECT {_ID("name", "product")}, 'product', name, NULL, chunk_id, 3 + i FROM mm
+UNION ALL SELECT {_ID("left(text, 40)", "faq")}, 'faq', left(text, 60), NULL, chunk_id, 9 FROM c WHERE chunk_type = 'faq' AND text <> ''
+UNION ALL SELECT {_ID("p", "policy")}, 'policy', p, NULL, chunk_id, 9 FROM (SELECT *, CASE WHEN contains(lower(text), 'return policy') THEN 'Return Policy' WHEN contains(lower(text), 'shipping policy') THEN 'Shipping Policy' WHEN contains(lower(text), 'warranty policy') THEN 'Warranty Policy' WHEN contains(lower(text), 'refund policy') THEN 'Refund Policy' END AS p FROM c WHERE chunk_type IN ('documentation', 'text')) WHERE p IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY chunk_id DESC, step DESC, label DESC) AS place FROM n) SELECT node_id, kind, label, url FROM r WHERE place = 1""")
+def chunk_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products, brands, categories, questions and policies of the documents' chunks."""
+    return nodes(document_chunks(spark, sf_dir))
+
+
+@query(f"""WITH {CHUNKS_SQL}, k AS (SELECT {_ID("title", "product")} AS source, {_ID("name", "product")} AS target, chunk_id, i FROM mm), r AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY chunk_id, i, source, target) AS place FROM k)
+SELECT DISTINCT {_ID("title", "product")} AS source, {_ID("brand", "brand")} AS target, '{MADE_BY[0]}' AS relation, CAST({MADE_BY[1]} AS DOUBLE) AS weight FROM c WHERE title <> '' AND brand <> ''
+UNION ALL SELECT DISTINCT {_ID("title", "product")}, {_ID("product_type", "category")}, '{BELONGS_TO[0]}', CAST({BELONGS_TO[1]} AS DOUBLE) FROM c WHERE title <> '' AND product_type NOT IN ('', 'product', 'page')
+UNION ALL SELECT source, target, '{MENTIONED_WITH[0]}', CAST({MENTIONED_WITH[1]} AS DOUBLE) FROM r WHERE place = 1""")
+def chunk_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What joins them: brands, categories and mentions."""
+    return edges(document_chunks(spark, sf_dir))
