@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,9 +119,20 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-def stems(text: str | None, known=stem) -> list[str]:
+class _Known(dict):
+    """The stems of the words seen so far, each made once; a stop word's is empty."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = out = "" if word in STOP_WORDS else stem(word)
+        return out
+
+
+def stems(text: str | None, known: _Known | None = None) -> list[str]:
     """The stems of a text's words of ASCII letters and digits, in order, without stop words."""
-    return [known(w) for w in _WORD.findall((text or "").lower()) if w not in STOP_WORDS]
+    known = _Known() if known is None else known
+    return list(filter(None, map(known.__getitem__, _WORD.findall((text or "").lower()))))
 
 
 def stemmed(rows: DataFrame, id_col: str, text_col: str, first: int | None = None) -> DataFrame:
@@ -132,7 +142,7 @@ def stemmed(rows: DataFrame, id_col: str, text_col: str, first: int | None = Non
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(maxsize=200_000)(stem)  # each word once
+        known = _Known()
         for batch in batches:
             found = [stems(t, known) for t in batch.column(1).to_pylist()]
             texts = [" ".join(x if first is None else list(dict.fromkeys(x))[:first]) for x in found]
