@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import vocabulary as V
 from lakeloom.operators.inverted_file import build, search
+from lakeloom.operators.retrieve import retrieve
 from lakeloom.operators.search import bm25, hashed_vectors, merge_hits, postings, reciprocal_rank_fusion
 from lakeloom.operators.stemming import stemmed
 from lakeloom.operators.vector import cosine_top_k
@@ -202,3 +203,37 @@ def pages_by_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unchanged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose content was seen before are skipped."""
     return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("kept"), (F.count("*") - 1).alias("skipped"))
+
+
+def retrievable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as chunks: four to a source, every other source a product's, a fiftieth of the rows about places."""
+    at, place = F.col("doc_id"), F.col("doc_id") % 50 == 0
+    source = F.when(place, F.concat(F.lit("store-location/"), at % 7)).otherwise(F.concat_ws("/", "source", F.floor(at / 4)))
+    title = F.array_join(F.slice(F.split("text", " "), 1, 1), " ")
+    return table(spark, sf_dir, "documents").select(at.alias("id"), source.alias("source"), (at % 4).cast("int").alias("chunk_index"), title.alias("title"), (at % 8 < 4).alias("product"), F.col("text").alias("content"))
+
+
+def flagged_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items, a fifth of them asking for a place and a fifth for a price."""
+    more = F.when(F.col("item_id") % 5 == 0, " store").when(F.col("item_id") % 5 == 1, " price").otherwise("")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", more).alias("text"))
+
+
+@query(f"""WITH {BM25_SQL}, {AND_SQL}, {HASHED_SQL}, ch AS (SELECT doc_id AS id, CASE WHEN doc_id % 50 = 0 THEN 'store-location/' || (doc_id % 7) ELSE source || '/' || (doc_id // 4) END AS source, doc_id % 4 AS chunk_index, trim(regexp_replace(lower(trim(split_part(text, ' ', 1))), '\\s*[-—(].*$', '')) AS title, doc_id % 8 < 4 AS product, text AS content FROM documents),
+near AS (SELECT query_id, rank, id, similarity FROM v WHERE similarity >= 0.35 AND rank <= 5), worded AS (SELECT query_id, place AS rank, id, round(score / (score + 10), 6) AS similarity FROM w WHERE place <= 10),
+asked AS (SELECT item_id AS query_id, item_id % 5 = 0 OR list_has_any(regexp_extract_all(lower(text), '[a-z]+'), ['store', 'location', 'shop', 'branch', 'sylhet', 'chittagong', 'ctg', 'narayanganj', 'mirpur', 'gulshan', 'dhanmondi', 'bashundhara', 'wari']) AS place, item_id % 5 = 1 OR regexp_matches(text, '(?i)\\b(how much|price|cost|available|in stock|availability)\\b') AS one_field FROM benchmark),
+shelf AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY chunk_index, id) AS at_place FROM ch), held AS (SELECT * FROM ch WHERE contains(lower(source), 'store-location') ORDER BY chunk_index, id LIMIT 20),
+one AS (SELECT arg_min(id, (chunk_index, id)) AS id, string_agg(content, chr(10) || chr(10) ORDER BY chunk_index, id) AS content FROM held),
+al AS (SELECT query_id, one.id, 0.95 AS similarity, 'place' AS channel, 0 AS step, 1 AS pos FROM asked CROSS JOIN one WHERE place AND one.id IS NOT NULL UNION ALL
+SELECT n.query_id, s.id, 0.95, 'pinned', 1, at_place FROM near n JOIN ch ON ch.id = n.id AND n.rank = 1 AND product AND source <> '' JOIN shelf s ON s.source = ch.source AND at_place <= 20 UNION ALL SELECT query_id, id, similarity, 'vector', 2, rank FROM near UNION ALL SELECT query_id, id, similarity, 'keyword', 3, rank FROM worded),
+kp AS (SELECT al.*, title, one_field FROM al JOIN asked USING (query_id) JOIN ch ON ch.id = al.id WHERE NOT contains(source, 'store-location') OR NOT place OR step IN (0, 3) OR NOT EXISTS (SELECT 1 FROM one WHERE one.id IS NOT NULL)),
+un AS (SELECT * FROM kp QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY step, pos) = 1), mm AS (SELECT query_id, count(*) AS more FROM worded GROUP BY 1),
+od AS (SELECT un.*, more, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN more > 0 THEN -similarity ELSE 0 END, step, pos) AS n FROM un LEFT JOIN mm USING (query_id)),
+dd AS (SELECT query_id, min(n) AS n, arg_min(id, (-similarity, n)) AS id, arg_min(similarity, (-similarity, n)) AS similarity, arg_min(channel, (-similarity, n)) AS channel FROM od WHERE more IS NULL OR n <= 5 + more GROUP BY query_id, CASE WHEN one_field AND title <> '' THEN 't' || title ELSE 'i' || id END)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n) AS INTEGER) AS rank, dd.id, CAST(similarity AS DOUBLE) AS similarity, channel, CASE WHEN channel = 'place' THEN md5(one.content) END AS digest FROM dd CROSS JOIN one""")
+def retrieved_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that each benchmark item retrieves: five vector hits, its best product's chunks, places as one, keyword hits, one row a title."""
+    score, questions = F.col("score"), flagged_questions(spark, sf_dir)
+    worded = bm25(benchmark_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 10, every_term=True).select("query_id", "rank", "id", F.round(score / (score + 10), 6).alias("similarity"))
+    found = retrieve(questions, hashed_hits(spark, sf_dir, 5, V.SIMILARITY_THRESHOLD), worded, retrievable_chunks(spark, sf_dir), 5)
+    return found.select("query_id", "rank", "id", "similarity", "channel", F.md5("content").alias("digest"))
