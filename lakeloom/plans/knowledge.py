@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import planning as P
+from lakeloom.operators.expansion import expanded_chunks
 from lakeloom.operators.product_graph import BELONGS_TO, MADE_BY, MENTIONED_WITH, NAME, NAME_CHARS, NAMES, edges, names, nodes
 from lakeloom.operators.sharing import sharing_counts
 from lakeloom.plans.registry import alias, query, table
@@ -153,3 +154,13 @@ UNION ALL SELECT source, target, '{MENTIONED_WITH[0]}', CAST({MENTIONED_WITH[1]}
 def chunk_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What joins them: brands, categories and mentions."""
     return edges(document_chunks(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT doc_id AS id, source || '/' || (doc_id // 10) AS source, doc_id % 10 AS chunk_index, ['text', 'table', 'faq', 'text', 'product'][doc_id % 5 + 1] AS kind, text AS content FROM documents),
+a AS (SELECT * FROM c WHERE length(content) < 200 OR kind IN ('table', 'faq', 'documentation')), w AS (SELECT a.id, string_agg(c.content, chr(10) || chr(10) ORDER BY c.chunk_index, c.id) AS whole FROM a JOIN c ON c.source = a.source AND c.chunk_index BETWEEN a.chunk_index - 1 AND a.chunk_index + 1 GROUP BY 1)
+SELECT c.id, md5(CASE WHEN length(whole) > length(content) THEN whole ELSE content END) AS digest, coalesce(length(whole) > length(content), false) AS expanded FROM c LEFT JOIN w USING (id)""")
+def chunks_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as chunks, ten to a source, those that are short or fragments with their neighbours."""
+    at, kinds = F.col("doc_id"), F.array(*map(F.lit, ("text", "table", "faq", "text", "product")))
+    chunks = table(spark, sf_dir, "documents").select(at.alias("id"), F.concat_ws("/", "source", F.floor(at / 10)).alias("source"), (at % 10).alias("chunk_index"), F.get(kinds, (at % 5).cast("int")).alias("kind"), F.col("text").alias("content"))
+    return expanded_chunks(chunks).select("id", F.md5("content").alias("digest"), "expanded")

@@ -49,3 +49,24 @@ def latest_state(events: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     columns = [c for c in events.columns if c not in (key, time, tie)]
     newest = F.max(F.struct(time, tie, *columns)).alias("s")
     return events.groupBy(key).agg(newest).select(key, *[F.col(f"s.{c}").alias(c) for c in (time, tie, *columns)])
+
+
+def nested_sitemap_addresses(files: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
+    """(root, address) of the pages that stored sitemaps of (source, text) name, from those named in (root) on.
+
+    An address that ends in ``.xml`` is another sitemap, at most ``depth`` levels
+    below its root; one that isn't stored has no pages.  Each page of a root is
+    there once, however many sitemaps name it; a sitemap is read once for a root,
+    so circles end.  Each level is one join by name.
+    """
+    known = sitemap_addresses(files).select("source", F.trim("address").alias("address")).where("address <> ''")
+    front = roots.select("root", F.col("root").alias("source")).distinct()
+    seen, pages = front, None
+    for level in range(depth + 1):
+        named = front.join(known, "source").select("root", "address").distinct()
+        own = named.where(~F.endswith("address", F.lit(".xml")))
+        pages = own if pages is None else pages.unionByName(own)
+        if level < depth:
+            front = named.where(F.endswith("address", F.lit(".xml"))).select("root", F.col("address").alias("source")).join(seen, ["root", "source"], "left_anti")
+            seen = seen.unionByName(front)
+    return pages.distinct()
