@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("usage", "relational", "windows", "texts", "retrieval", "documents", "products", "graphs", "events", "evaluation", "questions", "knowledge", "monitoring", "grounding", "lookups", "hydration", "normalising", "matching", "memory", "conversing", "variants")
+MODULES = ("usage", "relational", "windows", "texts", "retrieval", "documents", "products", "graphs", "events", "evaluation", "questions", "knowledge", "monitoring", "grounding", "lookups", "hydration", "normalising", "matching", "memory", "conversing", "variants", "records")
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
