@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import planning as P
 from lakeloom.operators.expansion import expanded_chunks
-from lakeloom.operators.product_graph import BELONGS_TO, MADE_BY, MENTIONED_WITH, NAME, NAME_CHARS, NAMES, edges, names, nodes
+from lakeloom.operators.product_graph import BELONGS_TO, MADE_BY, MENTIONED_WITH, NAME, NAME_CHARS, NAMES, edges, nodes
 from lakeloom.operators.sharing import sharing_counts
 from lakeloom.plans.registry import alias, query, table
 from lakeloom.plans.texts import any_sql
@@ -104,19 +104,19 @@ _PLAIN = "regexp_replace({0}, '[^\\x00-\\x7F\\P{{L}}]|[^\\x00-\\x7F\\P{{N}}]', '
 _NAMES = f"list_filter(regexp_extract_all({_PLAIN.format('text')}, '{NAME}'), lambda x: length(x) > {NAME_CHARS})"
 
 
-@query(f"""WITH m AS (SELECT doc_id, unnest(list_distinct({_NAMES})) AS entity FROM documents)
-SELECT a.entity AS a, b.entity AS b, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2""")
+@query("""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS entity FROM documents)
+SELECT a.entity AS a, b.entity AS b, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY 1, 2 HAVING count(*) > 1""")
 def co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between all names that documents mention together, however frequent.
+    """Edges between all names that several documents mention together, however short or frequent.
 
     Documents with the same names are counted first; a document's pairs come
     from its own list, so that nothing is joined on a name.
     """
-    found = F.sort_array(F.array_distinct(names(F.col("text"))))
+    found = F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0)))
     classes = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(found.alias("names")).where("size(names) > 1").groupBy("names").agg(F.count("*").alias("n"))
     first = classes.select("names", "n", F.posexplode("names").alias("i", "a"))
     pairs = first.select("n", "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("weight"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("weight")).where("weight > 1")
 
 
 alias("all_co_mentions", co_mentions)
