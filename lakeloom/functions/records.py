@@ -32,7 +32,7 @@ def block_pattern(label: str, ends: tuple[str, ...]) -> str:
 def _found(content: Column, pattern: str) -> Column:
     """The first group, without blanks around it; null if there is no match or nothing in it."""
     # Lines end at \n alone.
-    text = F.regexp_replace(F.regexp_extract(content, "(?d)" + pattern, 1), r"^\s+|\s+$", "")
+    text = F.btrim(F.regexp_extract(content, "(?d)" + pattern, 1), F.lit(" \t\n\r\x0b\x0c"))
     return F.when(text != "", text)
 
 
