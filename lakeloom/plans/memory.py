@@ -14,8 +14,8 @@ KEPT, LIFE = 5, 3600
 
 
 def timed_messages(messages: DataFrame) -> DataFrame:
-    """(key, at, ts, item): messages have no times, so an hour by the conversation and 0 to 60 minutes a turn stand in."""
-    minutes = F.col("conv_id") % 50 * 60 + F.col("turn") * (F.col("conv_id") % 7) * 10
+    """(key, at, ts, item): messages have no times, so one of two hours by the conversation and 0 to 60 minutes a turn stand in."""
+    minutes = F.col("conv_id") % 2 * 60 + F.col("turn") * (F.col("conv_id") % 7) * 10
     ts = F.timestamp_seconds(F.lit(1704067200) + minutes * 60)
     return messages.select(F.col("conv_id").alias("key"), F.col("turn").alias("at"), ts.alias("ts"), F.concat_ws(":", "turn", "role").alias("item"))
 
@@ -24,7 +24,7 @@ def _shown(lists: DataFrame) -> DataFrame:
     return lists.where(F.size("items") > 0).select("key", F.array_join("items", ",").alias("items"), F.unix_timestamp("last").alias("last"))
 
 
-LISTS_SQL = f"""WITH e AS (SELECT conv_id AS key, turn, 1704067200 + 60 * (conv_id % 50 * 60 + turn * (conv_id % 7) * 10) AS ts, turn || ':' || role AS item FROM conversations),
+LISTS_SQL = f"""WITH e AS (SELECT conv_id AS key, turn, 1704067200 + 60 * (conv_id % 2 * 60 + turn * (conv_id % 7) * 10) AS ts, turn || ':' || role AS item FROM conversations),
 b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, turn DESC, item DESC) AS back FROM e), p AS (SELECT *, coalesce(lag(ts) OVER (PARTITION BY key ORDER BY back) >= ts + {LIFE}, false) AS paused FROM b),
 o AS (SELECT *, sum(paused::INT) OVER (PARTITION BY key ORDER BY back) AS older FROM p)
 SELECT key, string_agg(item, ',' ORDER BY back DESC) AS items, max(ts) AS last FROM o WHERE older = 0 AND back <= {KEPT} GROUP BY 1 HAVING max(ts) + {LIFE} > (SELECT max(ts) FROM e)"""
