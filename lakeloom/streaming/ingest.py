@@ -11,14 +11,23 @@ restart, therefore writes the same rows to the same place.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from lakeloom.operators.chunking import typed_chunks
-from lakeloom.operators.search import hashed_vectors
 from lakeloom.storage import stored
 
+_TERM = re.compile("[a-z0-9]+")
+
 STATE = "source string, hash string, number int"
 
 
@@ -34,33 +43,50 @@ def known_state(spark: SparkSession, folder: str, before: int | None = None) ->
 
 
 def ingest_batch(batch: DataFrame, number: int, folder: str) -> None:
-    """Take one batch of (source, at, text); the newest ``at`` of a source counts, the larger text if they tie.
+    """Take one batch of (source, at, text); the newest ``at`` of a source counts, the larger hash if they tie.
 
     Actions are ``new``, ``changed``, ``unchanged``, and ``error`` for a null
     source, which is not stored.  A null or empty text has no chunks, and a
-    source that becomes empty loses those it had.
+    source that becomes empty loses those it had.  Versions are compared by hash,
+    so only texts that are taken are chunked, and none is stored but as chunks.
     """
     spark = batch.sparkSession
-    newest = F.max_by(F.struct(F.col("text").cast("string").alias("text")), F.struct("at", F.coalesce("text", F.lit("")))).alias("x")
-    rows = batch.groupBy("source").agg(newest).select("source", F.col("x.text").alias("text")).withColumn("hash", content_hash(F.col("text")))
+    texts = batch.select("source", "at", F.col("text").cast("string").alias("text")).withColumn("hash", content_hash(F.col("text")))
+    versions = texts.groupBy("source", "at", "hash").agg(F.count("*").alias("n"))
+    newest = versions.groupBy("source").agg(F.max_by(F.struct("at", "hash", "n"), F.struct("at", "hash")).alias("x")).select("source", "x.*")
     if number == 0:  # nothing came before
         known = spark.createDataFrame([], "known_source string, known_hash string")
     else:
         known = known_state(spark, folder, number).select(F.col("source").alias("known_source"), F.col("hash").alias("known_hash"))
     action = F.when(F.col("source").isNull(), "error").when(F.col("known_hash").isNull(), "new").when(F.col("known_hash") != F.col("hash"), "changed").otherwise("unchanged")
-    # Written once: the chunks, vectors, state and actions are of the same rows.
-    told = stored(rows.join(known, F.col("source") == F.col("known_source"), "left").select("source", "text", "hash", action.alias("action")), "ingest")
-    taken = told.where("action IN ('new', 'changed')").withColumn("doc_id", F.monotonically_increasing_id())
-    chunks = typed_chunks(taken, "source", "hash").withColumn("id", F.xxhash64("source", "chunk_index"))
-    chunks = stored(chunks, "chunks")
-    vectors = hashed_vectors(chunks, "id", "chunk")
-    out = chunks.join(vectors, "id").select("source", "hash", "chunk_index", "total_chunks", "kind", "parent_index", "chunk", "vector")
+    # Written once: the chunks, state and actions are of the same rows.
+    told = stored(newest.join(known, F.col("source") == F.col("known_source"), "left").select("source", "at", "hash", "n", action.alias("action")), "ingest")
+    taken = told.where("action IN ('new', 'changed')")
+    own = taken.select(F.col("source").alias("taken"), F.col("at").alias("taken_at"), F.col("hash").alias("taken_hash"), "n")
+    rows = texts.join(own, (F.col("source") == F.col("taken")) & (F.col("hash") == F.col("taken_hash")) & F.col("at").eqNullSafe(F.col("taken_at"))).select("source", "hash", "text", "n")
+    if not taken.where("n > 1").isEmpty():  # repeated rows
+        rows = rows.where("n = 1").unionByName(rows.where("n > 1").dropDuplicates(["source", "hash"]))
+    chunks = typed_chunks(rows.withColumn("doc_id", F.lit(0)), "source", "hash").drop("doc_id")
     put = lambda df, name: df.write.mode("overwrite").parquet(f"{folder}/{name}/number={number}")
-    put(out, "chunks")
+    put(embedded(chunks), "chunks")
     put(told.select("source", "action"), "actions")
     put(taken.select("source", "hash"), "state")  # last: what is in the state has its chunks
 
 
+def embedded(chunks: DataFrame) -> DataFrame:
+    """The rows with ``vector``: the term counts of ``chunk``, added up by the first two hexadecimal digits of the term's md5."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = lru_cache(maxsize=200_000)(lambda t: hashlib.md5(t.encode()).digest()[0])
+        for batch in batches:
+            counts = [np.bincount(np.fromiter(map(bucket, _TERM.findall((t or "").lower())), dtype=np.int64), minlength=256) for t in batch.column("chunk").to_pylist()]
+            flat = np.concatenate(counts).astype(np.float32) if counts else np.zeros(0, dtype=np.float32)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * 256, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns, vectors], names=[*batch.schema.names, "vector"])
+
+    return chunks.mapInArrow(run, StructType([*chunks.schema.fields, StructField("vector", ArrayType(FloatType()))]))
+
+
 def start_ingest(documents: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Start the ingest of a stream of (source, at, text)."""
     return documents.writeStream.foreachBatch(lambda batch, number: ingest_batch(batch, number, folder)).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
