@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import bounded, join_few, map_texts, materialise, mix64, shingle_hashes, tidy
+from lakeloom.llm.common import bounded, give_back_memory, join_few, map_texts, materialise, mix64, shingle_hashes, tidy
 from lakeloom.llm.components import connected_components
 from lakeloom.llm.subword_classifier import text_slices
 
@@ -100,13 +100,25 @@ def frequency_levels(docs: DataFrame, config: Config) -> np.ndarray:
     parts = map_texts(docs.select(F.col("text").cast("string").alias("text")), count, schema)
     # Dealt at random first, then by piece: a task holds one sketch at most, however many tasks there were.
     merged = parts.repartition("piece", F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(merge, schema).repartition("piece").mapInArrow(merge, schema)
-    counts = np.zeros(cells, dtype=np.int64)
+    counts = np.zeros(cells, dtype=np.uint32)
     opener = zstandard.ZstdDecompressor()
-    for r in merged.toLocalIterator():
-        counts[r.piece * piece : (r.piece + 1) * piece] += np.frombuffer(opener.decompress(r.counts), dtype="<u4")
-    mean = counts.mean()
+    for r in merged.toLocalIterator():  # each piece comes once
+        counts[r.piece * piece : (r.piece + 1) * piece] = np.frombuffer(opener.decompress(r.counts), dtype="<u4")
+    levels = sketch_levels(counts)
+    del counts
+    give_back_memory()
+    return levels
+
+
+def sketch_levels(counts: np.ndarray, piece: int = 1 << 14) -> np.ndarray:
+    """The level of each cell by its count; a piece at a time, as the driver holds the whole sketch."""
+    mean = counts.sum(dtype=np.int64) / len(counts)
     limit = mean + 6 * np.sqrt(mean) + 8
-    return np.where(counts <= limit, 0, 1 + np.floor(np.log2(np.maximum(counts, 1) / limit))).astype(np.uint8)
+    levels = np.zeros(len(counts), dtype=np.uint8)
+    for i in range(0, len(counts), piece):
+        own = counts[i : i + piece]
+        levels[i : i + piece] = np.where(own <= limit, 0, 1 + np.floor(np.log2(np.maximum(own, 1) / limit))).astype(np.uint8)
+    return levels
 
 
 def shingle_profiles(docs: DataFrame, levels: np.ndarray, config: Config) -> DataFrame:

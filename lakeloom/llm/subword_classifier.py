@@ -4,7 +4,8 @@ Words, word pairs and character n-grams are hashed into buckets; each bucket
 has a learned vector, a document is the mean of its buckets' vectors, and a
 softmax layer turns it into class probabilities.  Training is stochastic
 gradient descent in numpy on a bounded sample of labelled rows (``max_rows``,
-the rows whose hashed id is smallest), on whole texts.
+the rows whose hashed id is smallest), on whole texts.  The sample's features
+stay packed on the driver, which opens one text's at a time.
 
 A trained model is linear in the mean, so scoring first multiplies the bucket
 vectors by the output layer: one number per bucket and class.  The table of
@@ -27,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import _BASE, _BYTE_CODES, labelled_sample, map_texts, mix64, small_batches, span_hashes, string_bytes, tidy, word_spans
+from lakeloom.llm.common import _BASE, _BYTE_CODES, give_back_memory, labelled_sample, map_texts, mix64, small_batches, span_hashes, string_bytes, tidy, word_spans
 
 
 @dataclass(frozen=True)
@@ -113,8 +115,30 @@ def text_slices(texts: pa.Array, slice_bytes: int) -> Iterator[tuple[int, pa.Arr
         row = upto
 
 
+def pack_features(kinds: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending buckets and how often each occurs, compressed: gaps first, as most are small."""
+    import zstandard
+
+    return zstandard.compress(np.diff(kinds, prepend=0).astype("<i4").tobytes() + counts.astype("<f4").tobytes(), 3)
+
+
+def open_features(packed: bytes | pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets and counts (float32) of ``pack_features``."""
+    import zstandard
+
+    raw = zstandard.decompress(packed)
+    half = len(raw) // 2
+    return np.cumsum(np.frombuffer(raw[:half], "<i4"), dtype=np.int32), np.frombuffer(raw[half:], "<f4")
+
+
 def train(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
     """Learn from (doc_id, text) and (doc_id, label); at most ``max_rows`` labels, featurised on the executors."""
+    model = _train(docs, labels, config)
+    give_back_memory()
+    return model
+
+
+def _train(docs: DataFrame, labels: DataFrame, config: Config) -> Model:
     sample = labelled_sample(docs, labels, config.max_rows, config.seed)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,26 +149,29 @@ def train(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Mode
                 order = np.argsort(doc, kind="stable")
                 edges = np.searchsorted(doc[order], np.arange(len(part) + 1))
                 for i in range(len(part)):
-                    kinds, counts = np.unique(bucket[order[edges[i] : edges[i + 1]]], return_counts=True)
-                    rows.append((kinds.astype("<i4").tobytes(), counts.astype("<f4").tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), batch.column(2).slice(row, len(part)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "label", "kinds", "counts"])
+                    rows.append(pack_features(*np.unique(bucket[order[edges[i] : edges[i + 1]]], return_counts=True)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), batch.column(2).slice(row, len(part)), pa.array(rows, pa.binary())], names=["doc_id", "label", "features"])
 
     label_type = sample.schema["label"].dataType.simpleString()
-    got = map_texts(sample, run, f"doc_id long, label {label_type}, kinds binary, counts binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    labels_ = got["label"].to_pylist()
+    got = map_texts(sample, run, f"doc_id long, label {label_type}, features binary").toArrow()
+    order = pc.sort_indices(got, [("doc_id", "ascending"), ("label", "ascending")])
+    labels_ = got["label"].take(order).to_pylist()
     classes = sorted(set(labels_))
     target = np.array([classes.index(x) for x in labels_], dtype=np.int64)
     prior = np.bincount(target, minlength=len(classes)) / max(len(labels_), 1)
     rng = np.random.default_rng(config.seed)
-    vectors = (rng.random((config.buckets, config.dim), dtype=np.float32) * 2 - 1) / config.dim
+    vectors = rng.random((config.buckets, config.dim), dtype=np.float32)
+    vectors *= 2
+    vectors -= 1
+    vectors /= config.dim
     output = np.zeros((config.dim, max(len(classes), 1)), dtype=np.float32)
     if len(classes) < 2:
         return Model(classes, prior, vectors, output)
-    sparse = [(np.frombuffer(k.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<f4")) for k, c in zip(got["kinds"], got["counts"], strict=True)]
-    steps, done = config.epochs * len(sparse), 0
+    packed = [got["features"][i].as_buffer() for i in order.to_pylist()]
+    steps, done = config.epochs * len(packed), 0
     for _ in range(config.epochs):
-        for i in rng.permutation(len(sparse)):
-            kinds, counts = sparse[i]
+        for i in rng.permutation(len(packed)):
+            kinds, counts = open_features(packed[i])
             rate = config.rate * (1 - done / steps)
             done += 1
             if not len(kinds):

@@ -164,3 +164,24 @@ def test_folds(spark):
     rows = spark.range(50).select("id", fold("id", 3).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 3 for r in rows)
     assert spark.range(1).select(fold(F.lit(None), 3).alias("f")).first().f is None
+
+
+def test_the_driver_gets_features_packed(spark, monkeypatch):
+    """Of the labelled texts' features the driver gets less than half of 8 bytes each."""
+    import numpy as np
+    import pyarrow as pa
+
+    config = subword_classifier.Config(epochs=1)
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{i * 7919 * k % 100_003}" for k in range(400)), i % 2) for i in range(60)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    sent, frame = [], type(known)
+    whole = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: sent.append(whole(self)) or sent[-1])
+    model = subword_classifier.train(known.drop("label"), known.drop("text"), config)
+    n = sum(len(np.unique(subword_classifier.features(pa.array([t]), config)[0])) for _, t, _ in rows)
+    assert sum(t.nbytes for t in sent) < 4 * n
+    got = subword_classifier.score(known, model, config).collect()
+    assert sum((r.score >= 0.5) == bool(r.doc_id % 2) for r in got) >= 58
+    for kinds in ([], [0], [3, 9, (1 << 30) - 1]):
+        buckets, counts = subword_classifier.open_features(subword_classifier.pack_features(np.array(kinds, dtype=np.int32), np.arange(len(kinds)) + 70_000))
+        assert buckets.tolist() == kinds and counts.tolist() == [70_000 + i for i in range(len(kinds))]

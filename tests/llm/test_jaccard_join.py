@@ -82,3 +82,22 @@ def test_components_with_hot_centres(spark, monkeypatch, proven):
     want = {**dict.fromkeys([*range(60), 500], 0), 7000: 7000, 7001: 7000}
     want |= dict.fromkeys([600, 2000, *range(1000, 1060), *range(3000, 3030)], 600)
     assert got == want
+
+
+def test_sketch_levels_are_made_in_pieces():
+    """The levels of the whole formula, without arrays of the sketch's size beside the counts and the levels."""
+    import tracemalloc
+
+    import numpy as np
+
+    from lakeloom.llm.jaccard_join import sketch_levels
+
+    counts = (np.random.default_rng(3).pareto(0.7, 1 << 20) * 5).clip(0, 4e9).astype(np.uint32)
+    tracemalloc.start()
+    levels = sketch_levels(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert levels.nbytes <= peak < 2 * levels.nbytes
+    limit = counts.mean() + 6 * np.sqrt(counts.mean()) + 8
+    assert np.array_equal(levels, np.where(counts <= limit, 0, 1 + np.floor(np.log2(np.maximum(counts.astype(np.int64), 1) / limit))).astype(np.uint8))
+    assert levels.max() > 10 and not sketch_levels(np.zeros(1 << 15, dtype=np.uint32)).any()
