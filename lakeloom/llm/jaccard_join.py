@@ -9,10 +9,13 @@ The token-group matrix has a row for each (shingle, group) of a prefix of the
 members' shingles.  A representative queries the matrix with its own prefix:
 two sets that link share at least k shingles of prefixes of length
 n - ceil(t n) + k, in any fixed order of shingles, so a group with fewer hits
-holds no partner and is never looked at.  For the groups that are left, the
+holds no partner and is never looked at.  A cell of the matrix whose members
+are all too short or too long for the query is no hit.  For the groups that are left, the
 union of all their members' shingles bounds the overlap with the query; only
 groups whose bound reaches t n are opened, and every member is then compared
-exactly.  No link is lost, and no pairs are made within a group of copies.
+exactly.  No link is lost, and no pairs are made within a group of copies.  A
+set is sent once to each part of a group, where a member may query its own
+group; sets go there from the task that reads the texts.
 
 The order of shingles puts frequent ones last, so that a passage that thousands
 of documents share makes no candidates.  Frequencies come from a sketch of
@@ -152,17 +155,24 @@ def shingle_profiles(docs: DataFrame, levels: np.ndarray, config: Config) -> Dat
     return map_texts(_texts(docs), run, "doc_id long, n long, sig_a long, sig_b long, key long, prefix array<long>")
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, config: Config) -> DataFrame:
-    """(doc_id, tokens): the sorted shingle hashes of the documents named in ``ids``."""
+def whole_sets(docs: DataFrame, work: DataFrame, config: Config) -> DataFrame:
+    """``work`` (doc_id and other columns) with ``tokens``: the sorted shingle hashes of each named document.
+
+    The rows of a document come as one list, so its text is hashed once; texts are shuffled only if ``work`` is large.
+    """
+    columns = [c for c in work.columns if c != "doc_id"]
+    sent = work.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("sent"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, part in text_slices(batch.column(1), config.slice_bytes):
                 hashes, edges = shingle_hashes(part, config.width)
                 raw = hashes.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array([raw[8 * a : 8 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), batch.column(2).slice(row, len(part)), pa.array([raw[8 * a : 8 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["doc_id", "sent", "tokens"])
 
-    return map_texts(_texts(docs).join(bounded(ids.select("doc_id").distinct()), "doc_id", "left_semi"), run, "doc_id long, tokens binary")
+    texts = _texts(docs).join(F.broadcast(sent) if bounded(work) is not work else sent, "doc_id").select("doc_id", "text", "sent")
+    sets = map_texts(texts, run, f"doc_id long, sent {sent.schema['sent'].dataType.simpleString()}, tokens binary")
+    return sets.select("doc_id", "tokens", F.explode("sent").alias("to")).select("doc_id", *[f"to.{c}" for c in columns], "tokens")
 
 
 class _Group:
@@ -193,7 +203,10 @@ class _Group:
 
 
 def _open_groups(percent: int):
-    """mapInArrow over rows (grp, part, role, doc_id, copies, own, tokens), sorted by the first three."""
+    """mapInArrow over rows (grp, part, role, doc_id, copies, asks, tokens), sorted by the first three.
+
+    Role 0 are the group's members, of which those with ``asks`` query it too; role 1 are the queries of other groups' members.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members, group, links, parent = None, [], None, {}, {}
@@ -205,6 +218,26 @@ def _open_groups(percent: int):
                 x = parent[x]
             return x
 
+        def ask(doc: int, copies: int, tokens: np.ndarray, own: bool) -> None:
+            for m in group.partners(tokens, percent):
+                other, many = int(group.ids[m]), int(group.copies[m])
+                if other == doc or (own and other > doc):
+                    continue
+                links[doc] = links.get(doc, 0) + many
+                links[other] = links.get(other, 0) + copies
+                x, y = root(doc), root(other)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((doc, other))
+
+        def gather() -> None:
+            nonlocal group, members
+            group = _Group([m[0] for m in members], [m[1] for m in members], [m[2] for m in members])
+            for doc, copies, tokens, asks in members:
+                if asks:
+                    ask(doc, copies, tokens, True)
+            members = []
+
         def flush() -> pa.RecordBatch:
             rows = [(a, b, 0) for a, b in found] + [(a, None, n) for a, n in links.items()]
             found.clear(), links.clear(), parent.clear()
@@ -212,58 +245,65 @@ def _open_groups(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)], names=["a", "b", "links"])
 
         for batch in batches:
-            for grp, part, role, doc, copies, own, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for grp, part, role, doc, copies, asks, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (grp, part) != now:
+                    if any(m[3] for m in members):
+                        gather()
                     if found or links:
                         yield flush()
                     now, members, group = (grp, part), [], None
                 tokens = np.frombuffer(raw, dtype="<u8")
                 if role == 0:
-                    members.append((doc, copies, tokens))
+                    members.append((doc, copies, tokens, asks))
                     continue
                 if group is None:
-                    group = _Group(*map(list, zip(*members, strict=True))) if members else _Group([], [], [])
-                    members = []
-                for m in group.partners(tokens, percent):
-                    other, many = int(group.ids[m]), int(group.copies[m])
-                    if other == doc or (own and other > doc):
-                        continue
-                    links[doc] = links.get(doc, 0) + many
-                    links[other] = links.get(other, 0) + copies
-                    x, y = root(doc), root(other)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        found.append((doc, other))
+                    gather()
+                ask(doc, copies, tokens, False)
+        if any(m[3] for m in members):
+            gather()
         yield flush()
 
     return run
 
 
+def token_hits(reps: DataFrame, config: Config) -> DataFrame:
+    """(doc_id, grp, target): for each of (doc_id, grp, n, prefix) the groups that may hold a partner of smaller group or id.
+
+    The token-group matrix and the queries to it are dealt by token in one
+    exchange, as both read the same columns.
+    """
+    rows = reps.select("doc_id", "grp", "n", F.explode("prefix").alias("token")).repartition("token")
+    matrix = rows.groupBy("token", "grp").agg(F.min("doc_id").alias("first"), F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "target")
+    fits = (100 * F.col("most") >= config.percent * F.col("n")) & (config.percent * F.col("least") <= 100 * F.col("n"))
+    hit = rows.join(matrix, "token").where("target < grp OR (target = grp AND first < doc_id)").where(fits)
+    asked = F.lit(1) + F.least(F.floor(F.floor((config.percent * F.col("n") + 99) / 100) / 20), F.lit(7))
+    hits = hit.groupBy("doc_id", "grp", "target").agg(F.count("*").alias("hits"), F.min("n").alias("n"))
+    return hits.where(F.col("hits") >= asked).select("doc_id", "grp", "target")
+
+
 def jaccard_components(docs: DataFrame, config: Config = Config()) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of (doc_id, text)."""
     profiles = materialise(shingle_profiles(docs, frequency_levels(docs, config), config), "profiles")
     some = profiles.where("n > 0 AND doc_id IS NOT NULL")
     sign = ["n", "sig_a", "sig_b"]
     classes = materialise(some.groupBy(*sign).agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")), "classes")
-    reps = profiles.join(classes.withColumnRenamed("rep", "doc_id"), [*sign, "doc_id"]).dropDuplicates(["doc_id", *sign])
-    large = reps.groupBy("key").agg(F.count("*").alias("in_key")).where(F.col("in_key") > config.group_size)  # other keys are one group
+    stand = some.drop("prefix").join(classes.withColumnRenamed("rep", "doc_id"), [*sign, "doc_id"]).dropDuplicates(["doc_id", *sign])
+    large = stand.groupBy("key").agg(F.count("*").alias("in_key")).where(F.col("in_key") > config.group_size)  # other keys are one group
     split = F.pmod(F.xxhash64("doc_id"), F.ceil(F.coalesce("in_key", F.lit(1)) / config.group_size))
-    asked = F.lit(1) + F.least(F.floor(F.floor((config.percent * F.col("n") + 99) / 100) / 20), F.lit(7))
-    reps = materialise(join_few(reps, large, ["key"], config.group_size).select("doc_id", "n", "copies", "prefix", F.xxhash64("key", split).alias("grp"), asked.alias("asked")), "representatives")
-
-    # The token-group matrix and the queries to it are dealt by token once, and both sides share that exchange.
-    rows = reps.select("doc_id", "grp", "asked", F.explode("prefix").alias("token")).repartition("token")
-    matrix = rows.groupBy("token", "grp").agg(F.count("*").alias("members")).withColumnRenamed("grp", "target")
-    hit = rows.join(matrix, "token").where("target < grp OR (target = grp AND members > 1)")
-    hits = hit.groupBy("doc_id", "grp", "target").agg(F.count("*").alias("hits"), F.max("asked").alias("asked")).where("hits >= asked")
-    wanted = materialise(hits.select("doc_id", "target", (F.col("grp") == F.col("target")).alias("own")), "candidates")
+    reps = materialise(join_few(stand, large, ["key"], config.group_size).select("doc_id", *sign, "copies", F.xxhash64("key", split).alias("grp")), "representatives")
+    # Rows may repeat; their prefixes are equal, and min(), unlike first(), lets both sides of the matrix share an exchange.
+    prefixes = some.select("doc_id", *sign, "prefix").join(reps.select("doc_id", *sign, "grp"), ["doc_id", *sign]).groupBy("doc_id", *sign).agg(F.min("grp").alias("grp"), F.min("prefix").alias("prefix"))
+    wanted = materialise(token_hits(prefixes, config), "candidates")
 
+    # A member is sent to every part of its group, and asks in one of them if its own group is a candidate.
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
     per_group = wanted.groupBy("target").agg(F.ceil(F.count("*") / config.queries_per_task).alias("parts"))
-    members = reps.join(per_group, F.col("grp") == F.col("target")).select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "doc_id", "copies", F.lit(True).alias("own"))
-    queries = wanted.join(per_group, "target").select(F.col("target").alias("grp"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.lit(1).alias("role"), "doc_id", "own").join(reps.select("doc_id", "copies"), "doc_id").select("grp", "part", "role", "doc_id", "copies", "own")
-    work = members.unionByName(queries)
-    sets = materialise(whole_sets(docs, work.select("doc_id"), config), "sets")
-    opened = work.join(sets, "doc_id").select("grp", "part", "role", "doc_id", "copies", "own", "tokens").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "doc_id").mapInArrow(tidy(_open_groups(config.percent)), "a long, b long, links long")
+    inner = wanted.where("grp = target").select("doc_id", "grp", F.lit(True).alias("inner"))
+    members = reps.select("doc_id", "grp", "copies").join(per_group, F.col("grp") == F.col("target")).join(inner, ["doc_id", "grp"], "left").withColumn("turn", part)
+    members = members.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("doc_id", "grp", "part", F.lit(0).alias("role"), "copies", (F.col("inner").isNotNull() & (F.col("part") == F.col("turn"))).alias("asks"))
+    queries = wanted.where("grp <> target").join(per_group, "target").select("doc_id", F.col("target").alias("grp"), part.alias("part"), F.lit(1).alias("role")).join(reps.select("doc_id", "copies"), "doc_id").select("doc_id", "grp", "part", "role", "copies", F.lit(False).alias("asks"))
+    work = materialise(members.unionByName(queries), "work")
+    opened = whole_sets(docs, work, config).select("grp", "part", "role", "doc_id", "copies", "asks", "tokens").repartition("grp", "part").sortWithinPartitions("grp", "part", "role", "doc_id").mapInArrow(tidy(_open_groups(config.percent)), "a long, b long, links long")
     opened = materialise(opened, "links")
 
     roots = connected_components(opened.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")

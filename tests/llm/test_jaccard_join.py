@@ -101,3 +101,50 @@ def test_sketch_levels_are_made_in_pieces():
     limit = counts.mean() + 6 * np.sqrt(counts.mean()) + 8
     assert np.array_equal(levels, np.where(counts <= limit, 0, 1 + np.floor(np.log2(np.maximum(counts.astype(np.int64), 1) / limit))).astype(np.uint8))
     assert levels.max() > 10 and not sketch_levels(np.zeros(1 << 15, dtype=np.uint32)).any()
+
+
+def test_what_the_join_writes(spark, monkeypatch):
+    """Sets are in no table, prefixes in one; token rows are shuffled once; a set goes to each part of its group once."""
+    from lakeloom.llm import jaccard_join
+
+    rng, columns, plans, rows, open_groups = random.Random(5), {}, [], spark.sparkContext.accumulator(0), jaccard_join._open_groups
+    bases = [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(20)]
+    texts = [" ".join([*base, f"x{i}"]) for base in bases for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def table(df, name, *rest):
+        columns[name] = df.columns
+        if name == "candidates":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return common.materialise(df, name, *rest)
+
+    def counted(percent):
+        run = open_groups(percent)
+
+        def told(batches):
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(told(batches))
+
+    monkeypatch.setattr(jaccard_join, "_open_groups", counted)
+    monkeypatch.setattr(jaccard_join, "materialise", table)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(docs, Config(sketch_bits=14)).collect()}
+    assert got == brute(list(enumerate(texts)), 3, 90)
+    assert [name for name, c in columns.items() if "tokens" in c] == []
+    assert [name for name, c in columns.items() if "prefix" in c] == ["profiles"]
+    assert ["ReusedExchange" in line for line in plans[0].splitlines() if "REPARTITION_BY_COL" in line] == [False, True]
+    assert rows.value == len(texts)
+
+
+def test_texts_may_be_shuffled(spark, monkeypatch):
+    """The way for more destinations than may be broadcast."""
+    from lakeloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "bounded", lambda df: df)
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_components(docs, Config(sketch_bits=14, group_size=4, queries_per_task=3)).collect()}
+    assert got == brute(rows, 3, 90)
