@@ -11,6 +11,16 @@ def share(condition: Column) -> Column:
     return F.coalesce(F.try_divide(F.count_if(condition), F.count("*")), F.lit(0.0))
 
 
+def exact_sum(value: str) -> Column:
+    """The sum of a double column, the same in whatever order and parts its rows are added.
+
+    Values are added as decimals of twenty places.  Where one is no such number
+    (not finite, 1e18 and more) or the sum isn't, they are added as doubles.
+    """
+    exact = F.col(value).try_cast("decimal(38,20)")
+    return F.coalesce(F.when(F.count(value) == F.count(exact), F.try_sum(exact)).cast("double"), F.sum(value))
+
+
 def index_percentiles(df: DataFrame, key: str, value: str, percents: tuple[int, ...]) -> DataFrame:
     """(key, n, p50, ...): the sorted value at index n p div 100 of each key.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.aggregate import index_percentiles, share
+from lakeloom.operators.aggregate import exact_sum, index_percentiles, share
 from lakeloom.plans.registry import query, table
 
 TOKENS_SQL = "coalesce(try_cast(regexp_extract(props, '\"k\":\\s*(-?\\d+)', 1) AS BIGINT), 0)"
@@ -80,8 +80,8 @@ def top_tenants_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, round(used, 2) AS used, CAST(coalesce(cap, 2000.0) AS DOUBLE) AS allowed, round(100 * used / coalesce(cap, 2000.0), 1) AS percent, used >= 0.8 * coalesce(cap, 2000.0) AS soft,
 used >= coalesce(cap, 2000.0) AS hard, round(greatest(0.0, coalesce(cap, 2000.0) - used), 2) AS remaining FROM u LEFT JOIN l ON c_custkey = user_id""")
 def quota_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Use against each tenant's plan limit, the free plan's where a tenant has none."""
-    used = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("u"))
+    """Use against each tenant's plan limit, the free plan's where a tenant has none; limits and ties of ``percent`` are met by the exact sum."""
+    used = table(spark, sf_dir, "events").groupBy("user_id").agg(exact_sum("value").alias("u"))
     plans = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_mktsegment") == "BUILDING", 4000.0).when(F.col("c_mktsegment") == "MACHINERY", 8000.0).alias("cap"))
     allowed = F.coalesce("cap", F.lit(2000.0))
     return used.join(plans, "user_id", "left").select(
