@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lakeloom.functions.vocabulary import SOURCE_PRIORITY
 
@@ -22,18 +23,27 @@ def _by_source(values: dict[str, float], other: float) -> Column:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """The rows with ``key``, the variant they speak of, ``order`` and ``base`` (the first of the variant), nulls as empty values."""
+    """The rows with ``key``, the variant they speak of, ``order``, ``base`` (the first of the variant) and the variant's ``options``, nulls as empty values.
+
+    A record comes once for each of its own options (``option``), once with null if
+    it has none.  One sort serves the windows and the grouping after them, and rows
+    that lie by product are not shuffled.
+    """
     text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
-    number = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), ",", "").try_cast("double"), F.lit(0.0))
+    plain_number = lambda c: F.col(c) if rows.schema[c].dataType == DoubleType() else F.regexp_replace(F.col(c).cast("string"), ",", "").try_cast("double")
     plain = rows.select(
-        "product", "position", F.coalesce("source", F.lit("")).alias("source"), text("sku").alias("sku"), text("title").alias("title"), *(text(c).alias(c) for c in TEXTS), *(number(c).alias(c) for c in NUMBERS),
-        F.col("available").cast("boolean").alias("available"), F.col("stock").cast("long").alias("stock"), F.coalesce("options", F.create_map().cast("map<string,string>")).alias("options"),
+        "product", "position", F.coalesce("source", F.lit("")).alias("source"), text("sku").alias("sku"), text("title").alias("title"), *(text(c).alias(c) for c in TEXTS), *(F.coalesce(plain_number(c), F.lit(0.0)).alias(c) for c in NUMBERS),
+        F.col("available").cast("boolean").alias("available"), F.col("stock").cast("long").alias("stock"), F.explode_outer("options").alias("option", "option_value"),
     )
     named = F.lower(F.regexp_replace("title", r"\s+", " "))
-    key = F.when(F.col("sku") != "", F.concat(F.lit("sku:"), "sku")).when(named != "", F.concat(F.lit("title:"), named)).otherwise(F.concat(F.lit("row:"), "position"))
-    told = plain.withColumn("key", key).withColumn("priority", _by_source(SOURCE_PRIORITY, 0).cast("int")).withColumn("confidence", _by_source(SOURCE_CONFIDENCE, OTHER_CONFIDENCE)).withColumn("order", F.struct((-F.col("priority")).alias("p"), "position"))
-    first = told.groupBy(F.col("product").alias("of"), F.col("key").alias("of_key")).agg(F.min("order").alias("first"))
-    return told.join(first, F.col("product").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))).withColumn("base", F.col("order") == F.col("first")).drop("of", "of_key", "first")
+    key = F.when(F.col("sku") != "", F.concat(F.lit("sku:"), "sku")).when(F.col("title") != "", F.concat(F.lit("title:"), named)).otherwise(F.concat(F.lit("row:"), "position"))
+    told = plain.withColumn("key", key).withColumn("priority", _by_source(SOURCE_PRIORITY, 0).cast("int")).withColumn("order", F.struct((-F.col("priority")).alias("p"), "position"))
+    by_option = Window.partitionBy("product", "key").orderBy("option", F.desc("priority"), "position")
+    variant = by_option.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = told.select("*", F.min("order").over(variant).alias("first"), F.lag("option").over(by_option).alias("before"))
+    opening = F.when(F.col("option").isNotNull() & ~F.col("option").eqNullSafe(F.col("before")), F.struct("option", "option_value"))  # the variant's first record with the option
+    whole = seen.withColumn("options", F.map_from_entries(F.collect_list(opening).over(variant)))
+    return whole.withColumn("base", F.col("order") == F.col("first")).withColumn("confidence", _by_source(SOURCE_CONFIDENCE, OTHER_CONFIDENCE)).drop("first", "before", "option_value")
 
 
 def _first(value: str, where: Column) -> Column:
@@ -68,17 +78,13 @@ def resolved_variants(rows: DataFrame) -> DataFrame:
     full = lambda c: F.col(c) != (0.0 if c in NUMBERS else "")
     kept = {c: _first(c, full(c)) for c in ("sku", "title", "price", "currency", "barcode")}
     replaced = {c: (_first(c, base & full(c)), _first(c, later & known & full(c)), _first(c, later & full(c))) for c in ("weight", "image_url")}
-    grouped = r.groupBy("product", "key").agg(
+    g = r.groupBy("product", "key").agg(
         *(x.alias(c) for c, x in kept.items()), *(x.alias(f"{c}_{k}") for c, xs in replaced.items() for k, x in zip(("base", "known", "any"), xs, strict=True)),
         F.min_by(F.struct("available", "source", "confidence"), "order").alias("own"), _first("available", later & known & ~inventory & F.col("available").isNotNull()).alias("next"), F.bool_or(inventory).alias("stocked"),
         _last("available", inventory & F.col("available").isNotNull() & later).alias("told"), F.max_by(F.when(inventory, F.struct("available", "stock")), F.when(inventory, F.col("order"))).alias("last"),
         _last("stock", stocked).alias("later_stock"), F.max_by(F.when(base, F.col("stock")), F.when(base, F.col("order"))).alias("base_stock"),
+        F.first("options").alias("options"), F.min_by(F.when(base & F.col("option").isNotNull(), F.struct(F.lit(True).alias("value"), "source", "confidence")), "order").alias("option_source"),
     )
-    options = r.select("product", "key", "order", F.explode("options").alias("option", "value")).groupBy("product", "key", "option").agg(F.min_by("value", "order").alias("value")).groupBy(F.col("product").alias("of"), F.col("key").alias("of_key")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("option", "value")))).alias("options"))
-    based = r.where("base AND size(options) > 0").select(F.col("product").alias("of"), F.col("key").alias("of_key"), F.struct(F.lit(True).alias("value"), "source", "confidence").alias("option_source"))
-    on = lambda side: F.col("product").eqNullSafe(side["of"]) & (F.col("key") == side["of_key"])
-    g = grouped.join(options, on(options), "left").drop("of", "of_key")
-    g = g.join(based, on(based), "left").drop("of", "of_key")
 
     coded = F.col("key").startswith("sku:")
     yes = F.coalesce(F.col("own.available"), F.lit(True))
@@ -99,7 +105,7 @@ def resolved_variants(rows: DataFrame) -> DataFrame:
     empty = lambda c: F.coalesce(F.col(f"{c}.value"), F.lit(0.0 if c in NUMBERS else ""))
     return g.select(
         "product", "key", *(empty(c).alias(c) for c in kept), F.coalesce("picked_weight.value", F.lit(0.0)).alias("weight"), F.coalesce("picked_image_url.value", F.lit("")).alias("image_url"), F.col("available.value").alias("available"), "stock",
-        F.coalesce("options", F.create_map().cast("map<string,string>")).alias("options"), entries("source").alias("sources"), entries("confidence").alias("confidence"), F.filter(F.array(*differs), lambda x: x.isNotNull()).alias("conflicts"),
+        "options", entries("source").alias("sources"), entries("confidence").alias("confidence"), F.filter(F.array(*differs), lambda x: x.isNotNull()).alias("conflicts"),
     )
 
 
